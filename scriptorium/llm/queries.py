@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, secret_scan, url_filter
+from . import common, exact_dedup, packing, secret_scan, simhash, topk_search, toxicity, url_filter, warc
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.scored(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +31,31 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.packed(packing.pieces(docs)).select(*names)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    root = common.scratch_path(spark, "warc")
+    manifest = warc.write(pages, root)
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return warc.read(spark, root, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -49,9 +80,43 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM w
 """
 
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h
+  FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, html, list_transform(range(8), lambda i: CAST('0x' || h[i * 5 + 1 : i * 5 + 5] AS INTEGER)) AS n,
+         max(page_id) OVER (PARTITION BY html) AS last
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
+    "op3_simhash": op3_simhash,
+    "op5_packing": op5_packing,
+    "op7_warc": op7_warc,
+    "op8_topk_search": op8_topk_search,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_topk_search": OP8_SQL, "op10_exact_dedup": OP10_SQL}
