@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, packing, secret_scan, simhash, topk_search, toxicity, url_filter, warc
+from . import common, exact_dedup, packing, pii, secret_scan, sentence_pieces, simhash, topk_search, toxicity, url_filter, warc
+
+
+#: Only the query's: real runs pass a key that is kept elsewhere.
+SURROGATE_SECRET = "test tables"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +40,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, pii.key_of(SURROGATE_SECRET))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return packing.packed(packing.pieces(docs)).select(*names)
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.encoded(docs, with_ids=False)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     root = common.scratch_path(spark, "warc")
@@ -113,7 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_warc": op7_warc,
     "op8_topk_search": op8_topk_search,
     "op9_url_filter": op9_url_filter,
