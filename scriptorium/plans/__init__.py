@@ -1,0 +1 @@
+"""Named queries over the test tables, each with the SQL that gives the same rows."""
