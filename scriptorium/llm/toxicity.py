@@ -141,6 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
         yield pd.DataFrame({"index": [model.index], "weight": [model.weight], "intercept": [model.intercept]})
 
     out = sample.coalesce(1).mapInPandas(run, "index array<int>, weight array<float>, intercept double").first()
+    if out is None:  # no labelled rows
+        return fit([], [])
     return Model(np.array(out["index"], np.int32), np.array(out["weight"], np.float32), out["intercept"])
 
 
