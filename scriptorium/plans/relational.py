@@ -9,6 +9,7 @@ from ..operators import fulltext as S
 from ..operators import listing as L
 from ..operators import tagging as T
 from ..sources import archive as A
+from ..sources import html
 from .registry import Catalogue
 from .search import DOCS, FIRST, docs, hit_sql
 
@@ -319,3 +320,13 @@ def filter_category_rollup(spark, sf):
     n = F.broadcast(A.read(spark, sf, "nation"))  # 25 rows at every scale
     c = A.read(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@C.query("html_main_text")
+def html_main_text(spark, sf):
+    return html.main_texts(A.read(spark, sf, "pages"))
+
+
+@C.query("readability")
+def readability(spark, sf):
+    return html.articles(A.read(spark, sf, "pages")).drop("content")
