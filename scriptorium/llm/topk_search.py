@@ -31,8 +31,9 @@ K = 5
 SCALE = 256
 BLOCK = 8_192
 GROUP = 1_024
-LEAF = 64
-FAN = 32
+LEAF = 512
+QUERY_LEAF = 128
+FAN = 16
 
 
 @dataclass
@@ -86,11 +87,18 @@ class Best:
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
         """``scores``: for each query and candidate row; -inf where the row is no candidate."""
+        fits = scores >= self.score[queries, -1:]
+        better = np.flatnonzero(fits.any(1))
+        if not len(better):
+            return
+        some = np.flatnonzero(fits[better].any(0))
+        queries, scores, rows = queries[better], scores[np.ix_(better, some)], rows[some]
         score = np.concatenate([self.score[queries], scores], 1)
         row = np.concatenate([self.row[queries], np.broadcast_to(rows, scores.shape)], 1)
         order = np.lexsort((np.where(row >= 0, ids[row], np.iinfo(np.int64).max), -score), axis=1)[:, : self.k]
-        self.score[queries] = np.take_along_axis(score, order, 1)
-        self.row[queries] = np.take_along_axis(row, order, 1)
+        at = np.arange(len(queries))[:, None]
+        self.row[queries] = np.where(score[at, order] == -np.inf, -1, row[at, order])
+        self.score[queries] = score[at, order]
 
 
 def dual_search(
@@ -100,7 +108,7 @@ def dual_search(
     best = Best(len(queries), k)
     if not len(queries) or not len(points):
         return best
-    stack = [(np.inf, cover_tree(queries), cover_tree(points))]
+    stack = [(np.inf, cover_tree(queries, QUERY_LEAF), cover_tree(points))]
     while stack:
         bound, q, p = stack.pop()
         if bound < best.worst(q.rows):
