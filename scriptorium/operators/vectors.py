@@ -52,36 +52,54 @@ def neighbours(vectors: DataFrame, query_ids: list[int], k: int, id_col: str = "
     return out
 
 
-def all_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """``vec_id, neighbour, similarity``: the k nearest others of every vector, by blocks.
+def _by_blocks(vectors: DataFrame, id_col: str, vector_col: str, block: int, keep) -> DataFrame:
+    """``vec_id, neighbour, similarity`` of the pairs that ``keep`` takes from each block of similarities.
 
-    Vectors are dealt into blocks of a bounded size; each pair of blocks is one matrix product that keeps k rows for
-    each vector, so a task holds two blocks and no pair of vectors becomes a row.
+    Vectors are dealt into blocks of a bounded size and every pair of blocks is one matrix product, so a task holds two
+    blocks. ``keep(similarities, ids, others)`` gives row and column numbers.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     blocks = max(1, -(-rows.count() // block))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("other", F.explode(every)).select(F.col("b").alias("x"), F.col("other").alias("y"), "id", "v")
-    right = rows.withColumn("other", F.explode(every)).select(F.col("other").alias("x"), F.col("b").alias("y"), "id", "v")
+    both = rows.withColumn("other", F.explode(every))
+    side = lambda x, y: both.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col("id").alias("id"), F.col("v").alias("v"))
+    left, right = side("b", "other"), side("other", "b")
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"vec_id": [], "neighbour": [], "similarity": []})
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         s = unit(np.array(a["v"].tolist(), float)) @ unit(np.array(b["v"].tolist(), float)).T
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
         s[ids[:, None] == others[None]] = -np.inf
+        i, j = keep(s, ids, others)
+        return pd.DataFrame({"vec_id": ids[i], "neighbour": others[j], "similarity": s[i, j]})
+
+    schema = "vec_id long, neighbour long, similarity double"
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, schema)
+
+
+def all_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """The k nearest others of every vector: k rows of each block, ranked at the end."""
+
+    def best(s: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
-        score = np.take_along_axis(s, order, 1)
-        keep = score > -np.inf
-        return pd.DataFrame({"vec_id": np.repeat(ids, order.shape[1])[keep.ravel()], "neighbour": others[order][keep], "similarity": score[keep]})
+        i = np.repeat(np.arange(len(ids)), order.shape[1])
+        j = order.ravel()
+        real = s[i, j] > -np.inf
+        return i[real], j[real]
 
-    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(best, "vec_id long, neighbour long, similarity double")
+    found = _by_blocks(vectors, id_col, vector_col, block, best)
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("n", rank).where(F.col("n") <= k).drop("n")
 
 
+def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """All pairs, the smaller id first, whose similarity is greater than ``above``."""
+    return _by_blocks(vectors, id_col, vector_col, block, lambda s, ids, others: np.nonzero((s > above) & (ids[:, None] < others[None])))
+
+
 def mean_by(vectors: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
     """``key, dim, mean``: the mean vector of each group, a row a dimension."""
     parts = vectors.select(key, F.posexplode(vector_col).alias("dim", "x"))

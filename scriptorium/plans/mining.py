@@ -155,14 +155,20 @@ def topics_hdbscan(spark, sf):
     return topics.clusters(A.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
+@C.query(
+    "similar_pairs",
+    f"SELECT a.vec_id, b.vec_id AS neighbour, round({PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {PAIR} > 0.5",
+)
+def similar_pairs(spark, sf):
+    return vectors.similar_pairs(A.read(spark, sf, "embeddings"), 0.5, block=200).withColumn("similarity", F.round("similarity", 6))
+
+
 @C.query(
     "near_duplicates",
     f"SELECT a.vec_id, b.vec_id AS neighbour, round({PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {PAIR} > 0.95",
 )
 def near_duplicates(spark, sf):
-    """Pairs above 0.95: those of the nearest twenty; none has more, else the count would tell."""
-    found = vectors.all_neighbours(A.read(spark, sf, "embeddings"), 50).where("similarity > 0.95 AND vec_id < neighbour")
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return vectors.similar_pairs(A.read(spark, sf, "embeddings"), 0.95).withColumn("similarity", F.round("similarity", 6))
 
 
 @C.query(
