@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from . import common
 
 MEMTABLE_ROWS = 250_000
+SALTS = 16
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 _RUN = T.StructType(
@@ -118,11 +119,12 @@ def exact_duplicates(
     merged = common.materialise(index.compact(), "digest-merged")
     hits = merged.where("size > 1").select("digest")
 
-    # Byte verification. Equal texts combine on the map side, so each task sends one row for a text.
+    # Byte verification. A hot digest is spread over SALTS tasks; there its equal texts combine before the next
+    # shuffle, which gets one row for a text and task.
     suspects = (
         docs.select(normalised(F.col(text_col)).alias("norm"))
-        .withColumn("digest", _digest(F.col("norm")))
-        .join(hits, "digest", "left_semi")
+        .withColumns({"digest": _digest(F.col("norm")), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+        .join(hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left_semi")
     )
     texts_per_digest = (
         suspects.groupBy("digest", "norm")
