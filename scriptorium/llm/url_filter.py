@@ -113,7 +113,7 @@ def log_ratios(pairs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFr
     """
     out = pairs.withColumn("a", F.lit(1.0 / SYMBOLS)).withColumn("r", F.lit(1.0 / SYMBOLS))
     for k in range(order + 1):
-        tail = F.substring("ctx", order - k + 1, k) if k else F.lit("")
+        tail = F.substring("ctx", order - k + 1, k)
         counts = model.groupBy(tail.alias("c"), "ch").agg(F.sum("accepted").alias("na"), F.sum("rejected").alias("nr"))
         totals = counts.groupBy("c").agg(
             F.sum("na").alias("ta"),
