@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,32 +14,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="scriptorium-")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, with its scheme.
 
     Only where the setting is absent (tests, a laptop) a temporary folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return qualified(spark, spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark reads it by, so that other libraries find the same file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and reads it back.
 
     This cuts the lineage, fixes anything not deterministic (row ids) and survives lost executors.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    writer = df.write.option("compression", compression) if compression else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -123,6 +123,61 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+_SIGNS = "".join("\\" + c for c in url_filter.PUNCTUATION).replace("'", "''")
+
+
+def _mixed(n: str, total: str, kinds: str, lower: str) -> str:
+    return f"CASE WHEN coalesce({total}, 0) > 0 THEN (coalesce({n}, 0) + {kinds} * ({lower})) / ({total} + {kinds}) ELSE {lower} END"
+
+
+def _level(k: int) -> str:
+    key = "substr(ctx, 3 - %d, %d)" % (k, k) if k else "''"
+    return f"""c{k} AS (SELECT {key} AS c, ch, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(r) AS DOUBLE) AS r FROM m GROUP BY 1, 2),
+t{k} AS (SELECT c, sum(a) AS ta, sum(r) AS tr, count(*) FILTER (a > 0) AS ka, count(*) FILTER (r > 0) AS kr FROM c{k} GROUP BY c)"""
+
+
+def _estimate(side: str) -> str:
+    out = f"1.0 / {url_filter.SYMBOLS}"
+    for k in range(url_filter.ORDER + 1):
+        out = _mixed(f"c{k}.{side}", f"t{k}.t{side}", f"t{k}.k{side}", out)
+    return out
+
+
+OP9_SQL = f"""
+WITH u AS (
+  SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), h AS (
+  SELECT page_id, path, regexp_extract(low, '(?s)^.*?://([^/?#]*)', 1) AS host,
+         regexp_replace(regexp_replace(low, '[0-9]', '0', 'g'), '[^a-z0{_SIGNS}]', ' ', 'g') AS symbols FROM u
+), p AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h
+), l AS (
+  SELECT symbols, rule IN ('example.net/en/', 'org/fr/') AS accepted, count(*) AS n FROM p WHERE rule IS NOT NULL GROUP BY 1, 2
+), m AS (
+  SELECT substr('^^' || symbols, i, 2) AS ctx, substr(symbols, i, 1) AS ch,
+         sum(CASE WHEN accepted THEN n ELSE 0 END) AS a, sum(CASE WHEN accepted THEN 0 ELSE n END) AS r
+  FROM (SELECT *, unnest(range(1, length(symbols) + 1)) AS i FROM l) GROUP BY 1, 2
+), {_level(0)}, {_level(1)}, {_level(2)},
+x AS (
+  SELECT symbols, substr('^^' || symbols, i, 2) AS ctx, substr(symbols, i, 1) AS ch
+  FROM (SELECT symbols, unnest(range(1, length(symbols) + 1)) AS i FROM (SELECT DISTINCT symbols FROM p))
+), e AS (
+  SELECT symbols, avg(ln(({_estimate("a")}) / ({_estimate("r")}))) AS score FROM x
+  LEFT JOIN c0 ON c0.ch = x.ch LEFT JOIN t0 ON true
+  LEFT JOIN c1 ON c1.c = substr(ctx, 2, 1) AND c1.ch = x.ch LEFT JOIN t1 ON t1.c = substr(ctx, 2, 1)
+  LEFT JOIN c2 ON c2.c = ctx AND c2.ch = x.ch LEFT JOIN t2 ON t2.c = ctx GROUP BY symbols
+), s AS (
+  SELECT accepted, sum(n * score) / sum(n) AS mean, sqrt(greatest(sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) ** 2, 0)) + 1e-9 AS dev
+  FROM l JOIN e USING (symbols) GROUP BY accepted
+), t AS (SELECT (y.mean * z.dev + z.mean * y.dev) / (y.dev + z.dev) AS least FROM s y, s z WHERE y.accepted AND NOT z.accepted)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN coalesce(score, 0) >= (SELECT least FROM t) THEN 'allow' ELSE 'block' END AS verdict FROM p LEFT JOIN e USING (symbols)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -135,4 +190,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_topk_search": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op8_topk_search": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
