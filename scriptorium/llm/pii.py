@@ -14,8 +14,8 @@ Collision checks: over the distinct entities of the whole input, no two may shar
 an entity that occurs. Entities that fail are derived again with the next counter until none does. Distinct entities
 are grouped, compared and kept as tables in the shared folder; a hot entity is one row there.
 
-Only texts that may hold an entity (a cheap expression in the scan) reach Python and the join by text digest; all
-others pass through. Defined results: a null text stays null and holds nothing; repeated rows get the same text; an
+Only texts that may hold an entity (cheap expressions in the scan) are copied to the shared folder and reach Python
+and the join by text digest; all others pass through. Defined results: a null text stays null and holds nothing; repeated rows get the same text; an
 empty table gives an empty result; extra columns pass through, those named like an output are replaced.
 """
 
@@ -25,6 +25,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,10 +66,17 @@ NUMBER = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]|\.
 PERSON = re.compile(
     rf"(?<!\w)(?:(?P<title>{_either(_TITLE)})\.? (?P<titled>{_WORD}(?: {_WORD})?)|(?P<given>{_either(_GENDER)}) (?P<surname>{_WORD}))(?!\w)"
 )
-#: Found in every text that holds an entity; valid for Java and Python alike.
-HINT = (
-    r"@|\+[1-9]|[0-9]{13}|[0-9]{4}[ -][0-9]{4}[ -]|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|"
-    + rf"(?:{'|'.join(_GENDER)}) |(?:{'|'.join(_TITLE)})\.? "
+
+def _opening(words: dict, latin: bool) -> str:
+    return "|".join(w for w in words if (w[0].isascii()) == latin)
+
+
+#: Every text that holds an entity matches one of these, which are valid for Java and Python alike. The look-aheads
+#: let nearly every position fail at one comparison.
+HINTS = (
+    "@",
+    r"(?=[+0-9])(?:\+[1-9]|[0-9]{13}|[0-9]{4}[ -][0-9]{4}[ -]|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9])",
+    *(rf"(?=[{first}])(?:(?:{_opening(_GENDER, latin)}) |(?:{_opening(_TITLE, latin)})\.? )" for first, latin in (("A-Z", True), ("\u0370-\u04FF", False))),
 )
 
 Span = tuple[int, int, str, str, str]
@@ -226,8 +234,9 @@ def surrogates(entities: DataFrame, key: bytes, most_turns: int = 64) -> DataFra
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the text replaced, and ``pii_spans``: ``kind:start:end`` in the old text, comma-joined."""
     docs = docs.drop("pii_spans")
-    flagged = docs.where(F.col(text_col).rlike(HINT))
+    hint = reduce(lambda a, b: a | b, (F.col(text_col).rlike(h) for h in HINTS))
     digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    flagged = common.materialise(docs.where(hint).withColumn("digest_", digest), "pii-texts")
 
     spans_schema = "digest binary, start int, end int, kind string, entity string, part string"
 
@@ -235,7 +244,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFr
         for start, end, kind, entity, part in detect(row["text"]):
             yield {"digest": row["digest"], "start": start, "end": end, "kind": kind, "entity": entity, "part": part}
 
-    texts = flagged.select(digest.alias("digest"), F.col(text_col).alias("text"))
+    texts = flagged.select(F.col("digest_").alias("digest"), F.col(text_col).alias("text"))
     spans = common.materialise(texts.mapInArrow(_python(spans_schema, find), spans_schema).distinct(), "pii-spans")
     named = surrogates(common.materialise(spans.select("kind", "entity").distinct(), "pii-entities"), key)
     put = F.sort_array(F.collect_list(F.struct("start", "end", "kind", "part", "surrogate")))
@@ -252,9 +261,9 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFr
         return "".join([*out, text[at:]])
 
     listed = F.array_join(F.transform("edits", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",")
-    done = flagged.withColumn("digest_", digest).join(edits.withColumnRenamed("digest", "digest_"), "digest_", "left")
+    done = flagged.join(edits.withColumnRenamed("digest", "digest_"), "digest_", "left")
     done = done.withColumn("pii_spans", F.coalesce(listed, F.lit(""))).withColumn(text_col, edited(F.col(text_col), F.col("edits")))
-    rest = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike(HINT)).withColumn("pii_spans", F.lit(""))
+    rest = docs.where(F.col(text_col).isNull() | ~hint).withColumn("pii_spans", F.lit(""))
     return done.select(*docs.columns, "pii_spans").unionByName(rest)
 
 

@@ -342,11 +342,9 @@ def test_the_permutation_is_one():
 
 
 def test_every_detected_text_passes_the_hint():
-    import re as _re
-
     for _, t in PERSONAL:
         if t and pii.detect(t):
-            assert _re.search(pii.HINT, t)
+            assert any(re.search(h, t) for h in pii.HINTS)
 
 
 # WARC
