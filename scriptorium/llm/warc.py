@@ -170,6 +170,7 @@ def write(
     date: str = WARC_DATE,
 ) -> DataFrame:
     """Archives all rows under ``root`` (a URI). Returns the manifest: ``path, records, bytes`` of each archive."""
+    root = common.qualified(pages.sparkSession, root)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = common.materialise(
         pages.select(
@@ -180,6 +181,7 @@ def write(
             F.struct(F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("size")).alias("digest"),
         ),
         "warc-rows",
+        "zstd",
     )
     slim = rows.select("uid", "page_id", "digest").where(F.col("digest.size") >= revisit_least)
     keepers = slim.groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("keeper"), F.count(F.lit(1)).alias("n"))
