@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 SIZE, OVERLAP, LEAST = 2000, 400, 100
 
 
@@ -51,4 +53,4 @@ def chunked(rows: DataFrame, id_col: str = "entry_id", text_col: str = "extracte
                 [pa.array(ids, batch.schema.field(0).type), pa.array(places, pa.int32()), pa.array(texts, pa.string())], ["entry_id", "chunk_index", "chunk_text"]
             )
 
-    return rows.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"entry_id {kind}, chunk_index int, chunk_text string")
+    return spread(rows.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"entry_id {kind}, chunk_index int, chunk_text string")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LEAST_BYTES = 50
 # English stop words.
 STOP_WORDS = frozenset(
@@ -107,7 +109,8 @@ def keywords_column(text: Column, count: int = 10) -> Column:
 def entry_keywords(entries: DataFrame, count: int = 10) -> DataFrame:
     """``entry_id, keyword, score`` of ``entries(id, title, extracted_text)``, from the title and the text."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("extracted_text", F.lit("")))
-    return entries.select(F.col("id").alias("entry_id"), F.inline(keywords_column(text, count)))
+    rows = spread(entries.select(F.col("id").alias("entry_id"), text.alias("_text")))
+    return rows.select("entry_id", F.inline(keywords_column(F.col("_text"), count)))
 
 
 def top_keywords(keywords: DataFrame, limit: int, group: str | None = None) -> DataFrame:

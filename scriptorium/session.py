@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "scriptorium") -> SparkSession:
@@ -21,3 +21,12 @@ def local_session(cores: int | None = None, app: str = "scriptorium") -> SparkSe
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for costly functions: dealt out anew where there are fewer partitions than cores, as from one small file.
+
+    Large inputs have more partitions than that and stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
