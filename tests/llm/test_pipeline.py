@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline
@@ -41,6 +42,34 @@ def test_copies_and_near_copies(spark):
     assert {r["doc_id"] for r in near.collect() if r["doc_id"] is not None} == want
 
 
+def test_near_copies_are_all_pairs_alike_by_four_fifths_of_their_shingles(spark):
+    def shingled(text):
+        found = (text or "").lower().split()
+        return {" ".join(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+    r = random.Random(5)
+    rows = [row for row in documents() if row[0] is not None]
+    for i in range(60):  # chains of copies, each with more words changed
+        words = [f"w{r.randrange(400)}" for _ in range(40 + i)] + ["a", "very", "common", "last", "line", "of", "words"]
+        for j in range(4):
+            rows.append((1000 + 10 * i + j, " ".join(words)))
+            for at in r.sample(range(len(words)), 1 + i % 3):
+                words[at] = f"x{r.randrange(400)}"
+    sets = [shingled(t) for _, t in rows]
+    root = list(range(len(rows)))
+    top = lambda i: i if root[i] == i else top(root[i])
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in near:
+        root[top(j)] = top(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[top(i)] = min(doc_id, least.get(top(i), doc_id))
+    far = [(i, j) for i, j in near if bin(brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[j][1])).count("1") > 2]
+    assert len(far) > 20
+    got = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
+
+
 def test_secrets_are_masked_and_clean_documents_unchanged(spark):
     rows = documents()
     out = corpus_pipeline.mask_secrets(spark, table(spark, rows), "").collect()
