@@ -235,6 +235,12 @@ def title_from_text(spark, sf):
     return d.select("doc_id", X.text_title("text").alias("title"))
 
 
+@C.query("titles_of_all_texts")
+def titles_of_all_texts(spark, sf):
+    """A row for every document, of whatever characters; tested against plain Python, as SQL counts bytes otherwise."""
+    return A.read(spark, sf, "documents").select("doc_id", X.text_title("text").alias("title"))
+
+
 def _clean_sql(x: str) -> str:
     """One separator's step, for titles of at most one separator of that kind."""
     t = rf"array_to_string(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> ''), ' ')"
