@@ -150,6 +150,24 @@ def topic_labels(spark, sf):
     return topics.labels(members, _title_words(spark, sf))
 
 
+def _text_keywords(spark, sf):
+    e = A.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.first_line("text").alias("title"), F.col("text").alias("extracted_text"))
+    return keywords.entry_keywords(e)
+
+
+@C.query("keywords_top_of_texts")
+def keywords_top_of_texts(spark, sf):
+    """The most frequent keywords of whole texts; ``keywords_top`` counts words of titles, which SQL can."""
+    return keywords.top_keywords(_text_keywords(spark, sf), 20)
+
+
+@C.query("topic_labels_of_texts")
+def topic_labels_of_texts(spark, sf):
+    """Labels from keywords of whole texts; ``topic_labels`` takes words of titles, which SQL can."""
+    members = A.read(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("source").alias("topic"))
+    return topics.labels(members, _text_keywords(spark, sf))
+
+
 @C.query("topics_hdbscan")
 def topics_hdbscan(spark, sf):
     return topics.clusters(A.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
