@@ -1,14 +1,14 @@
 """Secret scan: three patterns, and a ratio of two character Markov models for what they miss.
 
 One first-order Markov model is trained on random strings, the other on ordinary identifiers. A token of the text
-that is long enough is a secret if the mean over its character pairs of
-log P(b | a, random) - log P(b | a, ordinary) exceeds a threshold calibrated on the samples.
+that is long enough, or what the patterns leave of it, is a secret if the mean over its character pairs of
+log P(b | a, random) - log P(b | a, ordinary) exceeds a threshold. Threshold and length are calibrated on the samples.
 
 Everything is a DataFrame expression: patterns run as Java regular expressions inside the scan, spans are found with
 array functions, and no row is shuffled. The model is one array of ``SYMBOLS ** 2`` doubles.
 
 Positions count code points; ends are exclusive. Of each kind the matches are leftmost and do not overlap; spans of
-kind ``markov`` are added where they touch no pattern's span.
+kind ``markov`` are added for tokens, and for the parts of tokens that lie outside the patterns' spans.
 
 Defined results: a null text counts as empty and holds nothing; repeated rows are scanned one by one; whole texts
 are scanned, whatever their length; an empty table gives an empty result; other columns pass through, those named
@@ -30,7 +30,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
-TOKEN_LEAST = 20
+#: Bounds of the length from which tokens are scored, and the share of ordinary samples that may be held for secrets.
+SHORTEST, TOKEN_LEAST = 8, 20
+FALSE = 0.001
 TOKEN = r"[A-Za-z0-9+/_=-]+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET)
@@ -167,8 +169,35 @@ def threshold(samples: DataFrame, ratios: list[float]) -> float:
     return max(0.0, (mr * do + mo * dr) / (do + dr))
 
 
+def least_length(samples: DataFrame, ratios: list[float], limit: float) -> int:
+    """The least length at which, and above which, at most a share ``FALSE`` of the ordinary samples' heads of that
+    length exceeds the threshold; ``TOKEN_LEAST`` where no shorter one does."""
+    ordinary = samples.where(~F.col("random")).where(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]+$"))
+    lengths = F.explode(F.sequence(F.lit(SHORTEST), F.lit(TOKEN_LEAST - 1))).alias("n")
+    heads = ordinary.select("token", lengths).where(F.length("token") >= F.col("n"))
+    over = mean_ratio(F.substring(F.col("token"), F.lit(1), F.col("n")), ratios) > limit
+    shares = {r["n"]: r["share"] for r in heads.groupBy("n").agg(F.avg(over.cast("double")).alias("share")).collect()}
+    out = TOKEN_LEAST
+    while out > SHORTEST and shares.get(out - 1, 1.0) <= FALSE:
+        out -= 1
+    return out
+
+
 def _outside(span: Column, base: Column) -> Column:
-    return ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    """The parts of ``span`` outside the spans of ``base``, which are in order of their starts."""
+    kind = F.lit(KINDS.index("markov")).alias("kind")
+
+    def merge(acc: Column, b: Column) -> Column:
+        part = F.struct(acc["at"].alias("start"), kind, b["start"].alias("end"))
+        touches = (b["start"] < span["end"]) & (b["end"] > acc["at"])
+        parts = F.when(touches & (b["start"] > acc["at"]), F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
+        return F.struct(F.when(touches, b["end"]).otherwise(acc["at"]).alias("at"), parts.alias("parts"))
+
+    def close(acc: Column) -> Column:
+        rest = F.struct(acc["at"].alias("start"), kind, span["end"].alias("end"))
+        return F.when(acc["at"] < span["end"], F.concat(acc["parts"], F.array(rest))).otherwise(acc["parts"])
+
+    return F.aggregate(base, F.struct(span["start"].alias("at"), F.array().cast(_SPANS).alias("parts")), merge, close)
 
 
 def scanned(
@@ -182,12 +211,14 @@ def scanned(
         samples = random_samples(docs.sparkSession, sample_rows).union(ordinary_samples(docs, text_col, sample_rows))
         samples = common.materialise(samples, "secret-samples")
     ratios = train(samples)
-    least = threshold(samples, ratios)
+    limit = threshold(samples, ratios)
+    least = least_length(samples, ratios, limit)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = _spans(text, "markov", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}", TOKEN_LEAST)
+    tokens = _spans(text, "markov", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}", least)
     token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
     held = docs.withColumns({"_base": base_spans(text), "_tokens": tokens})
-    found = F.filter("_tokens", lambda s: _outside(s, F.col("_base")) & (mean_ratio(token(s), ratios) > least))
+    parts = F.flatten(F.transform("_tokens", lambda s: _outside(s, F.col("_base"))))
+    found = F.filter(parts, lambda s: (s["end"] - s["start"] >= least) & (mean_ratio(token(s), ratios) > limit))
     return held.withColumn("secret_spans", F.array_sort(F.concat("_base", found))).drop("_base", "_tokens")
 
 

@@ -189,6 +189,32 @@ def test_secret_spans_match_brute_force_and_the_model_adds(spark):
     assert markov >= 1
 
 
+def test_the_rest_of_a_token_beside_a_pattern_is_scored(spark):
+    rest = "zQ7xK2pLm9vRt4sWyB8nHc3dTj6fGk1uXoEa5iVq"
+    rows = [(i, prose(i, 200)) for i in range(50)]
+    rows += [(900, f"id 1234567890123456789-{rest} end"), (901, f"id {rest}-1234567890123456789-{rest[::-1]}")]
+    # Samples without the test's own keys, of which a table this small would make ordinary words.
+    samples = secret_scan.random_samples(spark, 2000).union(secret_scan.ordinary_samples(frame(spark, rows[:50])))
+    scanned = secret_scan.scanned(frame(spark, rows), samples).where("doc_id >= 900")
+    out = scanned.withColumn("new", secret_scan.redacted(F.col("text"), F.col("secret_spans"))).collect()
+    assert len(out) == 2
+    for r in out:
+        assert rest not in r["new"] and rest[::-1] not in r["new"]
+        spans = [(s["start"], s["end"]) for s in r["secret_spans"]]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        assert {s["kind"] for s in r["secret_spans"]} == {2, 3}
+
+
+def test_the_least_length_is_calibrated(spark):
+    ordinary = [(w, False) for w in ["thanea_thntbl_reher", "onstAtanEdonWasn", "ingti-hedth-eaer-onst"] * 20]
+    keys = [(hashlib.sha256(str(i).encode()).hexdigest()[:24].upper(), True) for i in range(60)]
+    samples = spark.createDataFrame(ordinary + keys, "token string, random boolean")
+    ratios = secret_scan.train(samples)
+    limit = secret_scan.threshold(samples, ratios)
+    assert secret_scan.least_length(samples, ratios, limit) == secret_scan.SHORTEST
+    assert secret_scan.least_length(samples, ratios, -1e9) == secret_scan.TOKEN_LEAST
+
+
 def test_redaction_covers_every_span(spark):
     scanned = secret_scan.scanned(frame(spark))
     out = scanned.withColumn("new", secret_scan.redacted(F.coalesce("text", F.lit("")), F.col("secret_spans"))).collect()
