@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,3 +54,56 @@ def materialise(df: DataFrame, label: str, compression: str | None = None) -> Da
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def lowest(turn: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of its range."""
+    return F.lit(True) if share >= 1 else turn < int(-(2**63) + share * 2**64)
+
+
+#: The most rows of a filter that is broadcast: 64 bits each.
+FILTER_WORDS = 1 << 20
+
+
+def _flagged(rows: DataFrame, hashed: Column, members: DataFrame, most: int) -> tuple[DataFrame, str]:
+    words = 1 << max(6, min(most.bit_length() - 1, (members.count() // 4).bit_length()))
+    word, bits, place = unused(rows, "word", "bits", "place")
+    at = lambda c: F.pmod(c, F.lit(words * 64))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
+    held = members.select(at(F.col(members.columns[0])).alias(place))
+    table = held.groupBy(F.floor(F.col(place) / 64).alias(word)).agg(F.bit_or(bit(F.col(place))).alias(bits))
+    out = rows.withColumn(place, at(hashed)).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(table), word, "left")
+    return out.withColumn(bits, F.coalesce(F.col(bits).bitwiseAND(bit(F.col(place))) != 0, F.lit(False))).select(*rows.columns, bits), bits
+
+
+def maybe_among(rows: DataFrame, hashed: Column, members: DataFrame, most: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose 64-bit hash may be one of the first column of ``members``, a stored table: all that are, few others.
+
+    A filter of one bit a hash, 16 bits for each member, is broadcast, so that what a join would drop isn't shuffled.
+    It has at most ``most`` words of 64 bits whatever the input; beyond that it lets more rows pass, never fewer.
+    """
+    out, flag = _flagged(rows, hashed, members, most)
+    return out.where(flag).drop(flag)
+
+
+def without(rows: DataFrame, key: str, members: DataFrame, most: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose 64-bit ``key`` is none of ``members(key)``, a stored table. Only rows that the filter of
+    :func:`maybe_among` doesn't clear are shuffled."""
+    out, flag = _flagged(rows, F.col(key), members, most)
+    return out.where(~F.col(flag)).drop(flag).unionByName(out.where(flag).drop(flag).join(members, key, "left_anti"))

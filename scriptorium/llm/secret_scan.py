@@ -1,23 +1,27 @@
 """Secret scan: three patterns, and a ratio of two character Markov models for what they miss.
 
-One first-order Markov model is trained on random strings, the other on ordinary identifiers. A token of the text
-that is long enough, or what the patterns leave of it, is a secret if the mean over its character pairs of
-log P(b | a, random) - log P(b | a, ordinary) exceeds a threshold. Threshold and length are calibrated on the samples.
+One first-order Markov model is trained on random strings, the other on ordinary identifiers. A token of the text is a
+secret if the sum over its character pairs of log P(b | a, random) - log P(b | a, ordinary) exceeds a bound: the
+log of ``ODDS``, or what all but ``FALSE`` of the ordinary samples stay below if that is more. Tokens are runs of
+``SHORTEST`` or more letters, digits and ``+/_=-`` that touch no other letter. Not scored, because they are no strings
+of mixed characters, are words of one case (a first capital aside), numbers with their separators, and UUIDs.
 
 Everything is a DataFrame expression: patterns run as Java regular expressions inside the scan, spans are found with
 array functions, and no row is shuffled. The model is one array of ``SYMBOLS ** 2`` doubles.
 
 Positions count code points; ends are exclusive. Of each kind the matches are leftmost and do not overlap; spans of
-kind ``markov`` are added for tokens, and for the parts of tokens that lie outside the patterns' spans.
+kind ``markov`` are added for tokens. Tokens are looked for after the patterns' spans have been blanked, one pattern
+after the other, so what stands beside a pattern's span is a token of its own.
 
 Defined results: a null text counts as empty and holds nothing; repeated rows are scanned one by one; whole texts
-are scanned, whatever their length; an empty table gives an empty result; other columns pass through, those named
-like an output are replaced.
+are scanned, whatever their length; an empty table gives an empty result; other columns pass through, one named
+``secret_spans`` is replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,50 +34,103 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
-#: Bounds of the length from which tokens are scored, and the share of ordinary samples that may be held for secrets.
-SHORTEST, TOKEN_LEAST = 8, 20
+#: The least length of a token, the share of ordinary samples that may be held for secrets, and the odds against one.
+SHORTEST = 12
 FALSE = 0.001
-TOKEN = r"[A-Za-z0-9+/_=-]+"
+ODDS = 1000
+_RUN = "A-Za-z0-9+/_=-"
+_UUID = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+_PLAIN = rf"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9+/_=-]+|{_UUID})(?![\p{{L}}{_RUN}])"
+TOKEN = rf"(?<![\p{{L}}{_RUN}])(?!{_PLAIN})[{_RUN}]{{{SHORTEST},}}+(?!\p{{L}})"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET)
 SAMPLE_ROWS = 20_000
+#: Rows of the corpus that give ordinary samples, on average, and word pairs from each.
+SAMPLE_DOCS, PAIRS = 1_000, 4
+#: Words of identifiers; the corpus adds its own.
+IDENTIFIERS = (
+    "account action address apply array async auth base batch block body buffer build button byte cache call case chain "
+    "change check child class client close code color column command common config connect content context control "
+    "convert copy count create current data date debug default delete detail device directory display document domain "
+    "edit element enable engine entry error event execute export factory field file filter find flag float format frame "
+    "function get global graph group handler hash header height host html icon image import index info init input insert "
+    "instance item iterator job json key label last layer length level library limit line link list load local lock log "
+    "main manager map match media member memory menu merge message meta method mode model module name network next node "
+    "number object offset open option order output owner package page parse password path pattern point pool port "
+    "prefix process profile project property provider proxy query queue random range read record register remove render "
+    "request reset resource response result return root route row run sample schema scope script search select send "
+    "server service session set size sort source start state status store stream string style system table target task "
+    "test text thread time title token tool type unit update url user utility value version view web wrapper write"
+).split()
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, least: int, hint: str | None = None, groups: int = 0) -> Column:
-    """Spans of ``pattern``'s matches. ``hint``: a cheaper pattern found in every text that holds a match.
+_BLOCK = 256
 
-    The text is cut into pieces, each the text before a match and the match; anchoring every piece at the end of
-    the one before keeps the search linear. With ``groups`` = 1, ``least`` counts the first group, else the match.
+
+def _pieces(text: Column, pattern: str, groups: int = 0) -> Column:
+    """The text in pieces ``gap, hit`` and, with ``groups`` = 1, ``core``: what precedes a match, the match, its group.
+
+    Anchoring every piece at the end of the one before keeps the search linear.
     """
     whole = F.lit(rf"\G((?s:.*?))(?:({pattern})|\z)")
     parts = [F.regexp_extract_all(text, whole, F.lit(g)) for g in range(1, 3 + groups)]
-    pieces = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("gap", "hit", "core")[: 2 + groups], strict=True)))
-    start = lambda acc, x: acc["at"] + F.char_length(x["gap"])
+    return F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("gap", "hit", "core")[: 2 + groups], strict=True)))
+
+
+def _located(pieces: Column, kind: str, fits: Callable[[Column], Column]) -> Column:
+    """Spans of the pieces' hits that fit. Places are counted in blocks of pieces, then block by block: appending to
+    one array for each hit would take time with the square of their number."""
 
     def merge(acc: Column, x: Column) -> Column:
-        end = start(acc, x) + F.char_length(x["hit"])
-        span = F.struct(start(acc, x).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        fits = F.char_length(x["core" if groups else "hit"]) >= least
-        found = F.when(fits, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["hit"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
+        found = F.when(fits(x), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(end.alias("at"), found.alias("spans"))
 
+    def join(acc: Column, x: Column) -> Column:
+        shift = lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end"))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["spans"], F.array(F.transform(x["spans"], shift))).alias("spans"))
+
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    found = F.aggregate(pieces, zero, merge, lambda acc: acc["spans"])
+    number = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int"))
+    blocks = F.transform(number, lambda b: F.aggregate(F.slice(pieces, b * _BLOCK + 1, F.lit(_BLOCK)), zero, merge))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("spans"))
+    return F.flatten(F.aggregate(blocks, start, join, lambda acc: acc["spans"]))
+
+
+def _spans(text: Column, kind: str, pattern: str, fits: Callable[[Column], Column], hint: str | None = None, groups: int = 0) -> Column:
+    """Spans of ``pattern``'s matches. ``hint``: a cheaper pattern found in every text that holds a match."""
+    found = common.let(_pieces(text, pattern, groups), lambda p: _located(p, kind, fits))
     return F.when(text.rlike(hint or pattern), found).otherwise(F.array().cast(_SPANS))
 
 
+def _blanked(text: Column, pattern: str, fits: Callable[[Column], Column], groups: int = 0) -> Column:
+    """The text with a blank for every character of the matches that fit."""
+    keep = lambda x: F.concat(x["gap"], F.when(fits(x), F.repeat(F.lit(" "), F.char_length(x["hit"]))).otherwise(x["hit"]))
+    return F.when(text.rlike(pattern), F.array_join(F.transform(_pieces(text, pattern, groups), keep), "")).otherwise(text)
+
+
+_PATTERNS: list[tuple[str, str, str, int, Callable[[Column], Column]]] = [
+    ("assign", ASSIGN, ASSIGN, 1, lambda x: F.char_length(x["core"]) >= ASSIGN_LEAST),
+    ("access", ACCESS, rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4}}}", 0, lambda x: F.char_length(x["hit"]) >= ACCESS_LEAST),
+    ("hex", rf"[0-9a-f]{{{HEX_LEAST},}}", rf"[0-9a-f]{{{HEX_LEAST}}}", 0, lambda x: F.char_length(x["hit"]) >= HEX_LEAST),
+]
+
+
 def base_spans(text: Column) -> Column:
     """``array<struct<start, kind, end>>`` of the three patterns, by start, then kind."""
-    return F.array_sort(
-        F.concat(
-            _spans(text, "assign", ASSIGN, ASSIGN_LEAST, groups=1),
-            _spans(text, "access", ACCESS, ACCESS_LEAST, hint=rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4}}}"),
-            _spans(text, "hex", rf"[0-9a-f]{{{HEX_LEAST},}}", HEX_LEAST),
-        )
-    )
+    return F.array_sort(F.concat(*(_spans(text, kind, pattern, fits, hint, groups) for kind, pattern, hint, groups, fits in _PATTERNS)))
+
+
+def without_base(text: Column) -> Column:
+    """The text with the spans of the patterns blanked, one pattern after the other."""
+    for _, pattern, _, groups, fits in _PATTERNS:
+        text = common.let(text, lambda t, p=pattern, f=fits, g=groups: _blanked(t, p, f, g))
+    return text
 
 
 def random_samples(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -91,28 +148,38 @@ def random_samples(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     return spark.range(rows).select(token.alias("token"), F.lit(True).alias("random"))
 
 
-def ordinary_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``token, random``: words and identifiers made of neighbouring words, from the first words of a hundredth as
-    many documents as ``rows`` (those with the smallest text hash): about 1.2 times ``rows`` tokens at most."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    some = docs.select(text.alias("text")).orderBy(F.xxhash64(F.col("text"))).limit(max(1, rows // 100))
+def ordinary_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_DOCS) -> DataFrame:
+    """``token, random``: identifiers made of neighbouring words, of ``IDENTIFIERS`` and of the corpus.
+
+    The corpus gives word pairs from places spread over the whole texts of ``rows`` rows on average, those with the
+    least hashes; equal texts count once.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    share = min(1.0, rows / max(1, docs.count()))
+    turn = F.xxhash64("text").alias("turn")
+    some = docs.select(text.alias("text")).select("text", turn).where(common.lowest(F.col("turn"), share))
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) >= 2)
-    pair = lambda w: F.substring(w, 1, 16)
-    made = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("words") - 1, F.lit(max(1, rows // 1000))))),
-            lambda i: F.array(
-                F.get("words", i - 1),
-                F.concat_ws("_", pair(F.get("words", i - 1)), pair(F.get("words", i)), (i * 37 % 2048).cast("string")),
-                F.concat(pair(F.get("words", i - 1)), F.initcap(pair(F.get("words", i)))),
-                F.upper(F.concat_ws("_", pair(F.get("words", i - 1)), pair(F.get("words", i)))),
-                F.concat_ws("-", pair(F.get("words", i - 1)), pair(F.get("words", i)), F.lit("2024-01-15")),
-                F.concat_ws("/", pair(F.get("words", i - 1)), pair(F.get("words", i))),
-            ),
-        )
+    place = lambda i: F.floor((F.size("words") - 1) * i / PAIRS).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PAIRS - 1)), lambda i: F.array(F.get("words", place(i)), F.get("words", place(i) + 1)))
+    found = some.select("turn", words.alias("words")).where(F.size("words") >= 2).select("turn", spread.alias("pairs"))
+    corpus = found.groupBy("turn").agg(F.min("pairs").alias("pairs")).select(F.explode("pairs").alias("pair"))
+    known = F.array(*map(F.lit, IDENTIFIERS))
+    pick = lambda salt: F.get(known, F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(len(IDENTIFIERS))).cast("int"))
+    own = spark.range(SAMPLE_DOCS * PAIRS).select(F.array(pick("a"), pick("b")).alias("pair"))
+    a, b = (F.substring(F.get("pair", F.lit(i)), 1, 16) for i in (0, 1))
+    n = F.pmod(F.xxhash64("pair"), F.lit(2048)).cast("string")
+    made = F.array(
+        a,
+        F.concat(a, n),
+        F.concat(a, F.initcap(b)),
+        F.concat(F.initcap(a), F.initcap(b), n),
+        F.concat_ws("_", a, b, n),
+        F.upper(F.concat_ws("_", a, b)),
+        F.concat_ws("-", a, b, F.lit("2024-01-15")),
+        F.concat_ws("/", a, b),
     )
-    tokens = some.select(words.alias("words")).where(F.size("words") >= 2).select(F.explode(made).alias("token"))
-    return tokens.where(F.length("token") >= 4).select("token", F.lit(False).alias("random"))
+    return corpus.union(own).select(F.explode(made).alias("token"), F.lit(False).alias("random"))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -141,63 +208,22 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def mean_ratio(token: Column, ratios: list[float]) -> Column:
-    """Mean log ratio over the token's character pairs; the token holds characters of ``ALPHABET`` only."""
+def ratio(token: Column, ratios: list[float]) -> Column:
+    """Sum of the log ratios of the token's character pairs; the token holds characters of ``ALPHABET`` only."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    total = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.length(token) - 1),
         F.lit(0.0),
         lambda acc, i: acc + F.get(table, (at(i) - 1) * SYMBOLS + at(i + 1) - 1),
     )
-    return total / (F.length(token) - 1)
 
 
 def threshold(samples: DataFrame, ratios: list[float]) -> float:
-    """As many standard deviations above the ordinary samples' mean as below the random ones'; at least 0."""
-    scored = samples.where(F.length("token") >= 8).where(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]+$"))
-    rows = (
-        scored.select("random", mean_ratio(F.col("token"), ratios).alias("x"))
-        .groupBy("random")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("dev"))
-        .collect()
-    )
-    at = {r["random"]: (r["mean"], r["dev"] + 1e-9) for r in rows}
-    if len(at) < 2:
-        return 0.0
-    (mr, dr), (mo, do) = at[True], at[False]
-    return max(0.0, (mr * do + mo * dr) / (do + dr))
-
-
-def least_length(samples: DataFrame, ratios: list[float], limit: float) -> int:
-    """The least length at which, and above which, at most a share ``FALSE`` of the ordinary samples' heads of that
-    length exceeds the threshold; ``TOKEN_LEAST`` where no shorter one does."""
-    ordinary = samples.where(~F.col("random")).where(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]+$"))
-    lengths = F.explode(F.sequence(F.lit(SHORTEST), F.lit(TOKEN_LEAST - 1))).alias("n")
-    heads = ordinary.select("token", lengths).where(F.length("token") >= F.col("n"))
-    over = mean_ratio(F.substring(F.col("token"), F.lit(1), F.col("n")), ratios) > limit
-    shares = {r["n"]: r["share"] for r in heads.groupBy("n").agg(F.avg(over.cast("double")).alias("share")).collect()}
-    out = TOKEN_LEAST
-    while out > SHORTEST and shares.get(out - 1, 1.0) <= FALSE:
-        out -= 1
-    return out
-
-
-def _outside(span: Column, base: Column) -> Column:
-    """The parts of ``span`` outside the spans of ``base``, which are in order of their starts."""
-    kind = F.lit(KINDS.index("markov")).alias("kind")
-
-    def merge(acc: Column, b: Column) -> Column:
-        part = F.struct(acc["at"].alias("start"), kind, b["start"].alias("end"))
-        touches = (b["start"] < span["end"]) & (b["end"] > acc["at"])
-        parts = F.when(touches & (b["start"] > acc["at"]), F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
-        return F.struct(F.when(touches, b["end"]).otherwise(acc["at"]).alias("at"), parts.alias("parts"))
-
-    def close(acc: Column) -> Column:
-        rest = F.struct(acc["at"].alias("start"), kind, span["end"].alias("end"))
-        return F.when(acc["at"] < span["end"], F.concat(acc["parts"], F.array(rest))).otherwise(acc["parts"])
-
-    return F.aggregate(base, F.struct(span["start"].alias("at"), F.array().cast(_SPANS).alias("parts")), merge, close)
+    """The log of ``ODDS``, or what a share ``FALSE`` of the ordinary samples that are tokens exceeds, if that is more."""
+    tokens = samples.where(~F.col("random") & F.col("token").rlike(rf"^{TOKEN}$"))
+    x = tokens.select(ratio(F.col("token"), ratios).alias("x")).agg(F.percentile("x", F.lit(1 - FALSE)).alias("x")).first()["x"]
+    return max(math.log(ODDS), x if x is not None else 0.0)
 
 
 def scanned(
@@ -208,18 +234,16 @@ def scanned(
 ) -> DataFrame:
     """``docs`` with ``secret_spans``, an ``array<struct<start, kind, end>>`` by start, then kind (index in KINDS)."""
     if samples is None:
-        samples = random_samples(docs.sparkSession, sample_rows).union(ordinary_samples(docs, text_col, sample_rows))
-        samples = common.materialise(samples, "secret-samples")
+        samples = random_samples(docs.sparkSession, sample_rows).union(ordinary_samples(docs, text_col))
+    samples = common.materialise(samples, "secret-samples")
     ratios = train(samples)
     limit = threshold(samples, ratios)
-    least = least_length(samples, ratios, limit)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = _spans(text, "markov", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}", least)
-    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    held = docs.withColumns({"_base": base_spans(text), "_tokens": tokens})
-    parts = F.flatten(F.transform("_tokens", lambda s: _outside(s, F.col("_base"))))
-    found = F.filter(parts, lambda s: (s["end"] - s["start"] >= least) & (mean_ratio(token(s), ratios) > limit))
-    return held.withColumn("secret_spans", F.array_sort(F.concat("_base", found))).drop("_base", "_tokens")
+    base, rest = common.unused(docs, "base", "rest")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    held = docs.withColumn(base, base_spans(text))
+    held = held.withColumn(rest, F.when(F.size(base) > 0, without_base(text)).otherwise(text))
+    tokens = _spans(F.col(rest), "markov", TOKEN, lambda x: F.when(x["hit"] != "", ratio(x["hit"], ratios) > limit).otherwise(False))
+    return held.withColumn("secret_spans", F.array_sort(F.concat(base, tokens))).drop(base, rest)
 
 
 def spans_text(spans: Column) -> Column:

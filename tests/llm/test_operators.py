@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scriptorium.llm import exact_dedup, packing, pii, secret_scan, sentence_pieces, simhash, topk_search, toxicity, url_filter, warc
+from scriptorium.llm import common, exact_dedup, packing, pii, secret_scan, sentence_pieces, simhash, topk_search, toxicity, url_filter, warc
 
 from .cases import documents, frame, prose
 
@@ -205,14 +206,53 @@ def test_the_rest_of_a_token_beside_a_pattern_is_scored(spark):
         assert {s["kind"] for s in r["secret_spans"]} == {2, 3}
 
 
-def test_the_least_length_is_calibrated(spark):
-    ordinary = [(w, False) for w in ["thanea_thntbl_reher", "onstAtanEdonWasn", "ingti-hedth-eaer-onst"] * 20]
-    keys = [(hashlib.sha256(str(i).encode()).hexdigest()[:24].upper(), True) for i in range(60)]
-    samples = spark.createDataFrame(ordinary + keys, "token string, random boolean")
+IDENTIFIERS = (
+    "CamelCaseIdentifierFactoryBeanProvider 123e4567-e89b-12d3-a456-426614174000 SPRING_DATASOURCE_URL getUserById2 "
+    "org_apache_hadoop_mapreduce_v2 HTTPServletRequestWrapper2024 x86_64-unknown-linux-gnu 2024-01-15T10 covid19-pandemic "
+    "/usr/local/lib/python3 4111-1111-1111-1111 IPv4Address Übergangsfrist2024 donaudampfschifffahrtsgesellschaft"
+).split()
+KEYS = "k9Xq2LmZ7pRt4W Tr0ub4dor3xY zQ7xK2pLm9vRt4sWyB8nHc3d ghp_16C7e42F292c6912E7710c838347Ae178B4a".split()
+
+
+def test_identifiers_stay_clean_and_short_keys_are_found(spark):
+    rows = [(i, prose(i, 200)) for i in range(50)]
+    rows += [(900 + i, f"see {w} there") for i, w in enumerate(IDENTIFIERS)] + [(950 + i, f"see {w} there") for i, w in enumerate(KEYS)]
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["secret_spans"]] for r in secret_scan.scanned(frame(spark, rows)).collect()}
+    assert not [w for i, w in enumerate(IDENTIFIERS) if got[900 + i]]
+    assert [got[950 + i] for i in range(len(KEYS))] == [[(4, 3, 4 + len(w))] for w in KEYS]
+
+
+def brute_tokens(text, ratios, limit):
+    """Tokens of the text without its patterns' spans, in plain Python."""
+    rest = list(text)
+    for a, _, b in brute_spans(text):
+        rest[a:b] = " " * (b - a)
+    rest = "".join(rest)
+    sign = secret_scan.ALPHABET
+    score = lambda w: sum(ratios[sign.index(a) * len(sign) + sign.index(b)] for a, b in zip(w, w[1:]))
+    plain = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9+/_=-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", rest):
+        beside = rest[m.start() - 1 : m.start()] + rest[m.end() : m.end() + 1]
+        if not plain.fullmatch(m[0]) and not any(c.isalpha() for c in beside) and score(m[0]) > limit:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_model_spans_match_brute_force_in_long_texts(spark):
+    r = random.Random(9)
+    sign = "ABCDEFabcdefghijkXYZ0123456789+/_-"
+    word = lambda: "".join(r.choice(sign) for _ in range(r.randrange(4, 24)))
+    rows = [(i, " ".join(r.choice([word(), prose(r.randrange(99), 3), "é" + word(), 'token="0123456789abcdef0"']) for _ in range(n))) for i, n in enumerate([5, 50, 3000, 0])]
+    samples = secret_scan.random_samples(spark, 2000).union(secret_scan.ordinary_samples(frame(spark)))
+    samples = common.materialise(samples, "samples")
     ratios = secret_scan.train(samples)
     limit = secret_scan.threshold(samples, ratios)
-    assert secret_scan.least_length(samples, ratios, limit) == secret_scan.SHORTEST
-    assert secret_scan.least_length(samples, ratios, -1e9) == secret_scan.TOKEN_LEAST
+    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["secret_spans"]] for x in secret_scan.scanned(frame(spark, rows), samples).collect()}
+    rounded = [float(f"{x:.6g}") for x in ratios]
+    for i, text in rows:
+        assert got[i] == sorted(brute_spans(text) + brute_tokens(text, rounded, limit))
+    assert sum(s[1] == 3 for s in got[2]) > 300
 
 
 def test_redaction_covers_every_span(spark):
