@@ -5,9 +5,12 @@ neighbouring words and of its pairs with one word between them; a feature's valu
 count. FTRL-proximal keeps a learning rate for every coordinate, and its L1 term leaves
 nearly all weights at exactly 0: what is broadcast are the other ones, at most ``2 ** BITS``.
 
-The classifier is fitted in one task on a bounded sample of labelled rows: at most ``TRAIN_ROWS`` of either label
-(those with the smallest hashes of their ids). Scoring reads every text whole, in a vectorised function without a
-shuffle.
+The classifier is fitted in one task on a bounded sample of the labelled rows: those whose hashed ids lie below one
+limit for both labels, so that a table of any size is learned at its own rate of toxic rows. The limit leaves
+``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` bytes of text on average. A fifth of the sample is not learned from but places
+the bound of the score: at 0.5 a share of at most ``FALSE_ALARMS`` of its clean rows is held to be toxic, and where the
+two labels are farther apart than that, the bound is halfway between them. Scoring reads every text whole, in a
+vectorised function without a shuffle.
 
 Defined results: a null text counts as empty; an empty text is scored by the intercept alone; without labelled rows
 every score is 0; documents without a label are scored like others and never trained on; a label that is neither 0
@@ -27,11 +30,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BITS = 20
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 24_000
+TRAIN_BYTES = 48 << 20
 EPOCHS = 3
 STEM = 6
-TOXIC_WEIGHT = 2.0
+#: Of the rows that place the bound: the share of clean ones above it, and of toxic ones below it where there is room.
+FALSE_ALARMS, MISSED = 0.01, 0.02
 FOLDS = 5
 
 _WORD_SIGNS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -63,14 +70,22 @@ class Model:
     weight: np.ndarray
     intercept: float
 
-    def scorer(self) -> Callable[[str | None], float]:
+    def margins(self) -> Callable[[str | None], float]:
         dense = np.zeros(1 << BITS, np.float32)
         dense[self.index] = self.weight
 
-        def score(text: str | None) -> float:
+        def margin(text: str | None) -> float:
             found = features(text)
             found, times = np.unique(found[dense[found] != 0], return_counts=True)
-            x = self.intercept + float(dense[found] @ np.log2(1.0 + times))
+            return self.intercept + float(dense[found] @ np.log2(1.0 + times))
+
+        return margin
+
+    def scorer(self) -> Callable[[str | None], float]:
+        margin = self.margins()
+
+        def score(text: str | None) -> float:
+            x = margin(text)
             return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) if x > -700 else 0.0
 
         return score
@@ -92,8 +107,6 @@ class Ftrl:
     def learn(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
         w = self.weights(at)
         g = (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x))))) - label) * x
-        if label:
-            g *= TOXIC_WEIGHT
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -124,33 +137,57 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, epochs: int = EPOCHS) -> Model:
     """From ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, outside the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("turn", F.xxhash64("doc_id"))
-    some = [known.where(F.col("toxic") == label).orderBy("turn").limit(rows) for label in (0, 1)]
+    share = min(1.0, rows / max(1, known.count()))
+    known = known.where(common.lowest(F.col("turn"), share))
     sample = (
         docs.select(F.col("doc_id").alias("_id"), "text")
-        .join(F.broadcast(some[0].union(some[1])), F.col("_id") == F.col("doc_id"))
+        .join(F.broadcast(known), F.col("_id") == F.col("doc_id"))  # ``rows`` rows on average
         .groupBy("doc_id")
         .agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"), F.max("turn").alias("turn"))
     )
+    sample = common.materialise(sample, "toxicity-sample")
+    held = sample.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"]
+    if held is None:  # no labelled rows
+        return fit([], [])
+    sample = sample.where(common.lowest(F.col("turn"), share * min(1.0, size / max(1, held))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = fit_frame(list(batches), epochs)
-        yield pd.DataFrame({"index": [model.index], "weight": [model.weight], "intercept": [model.intercept]})
+        for model in fit_frames(list(batches), epochs):
+            yield pd.DataFrame({"index": [model.index], "weight": [model.weight], "intercept": [model.intercept]})
 
     out = sample.coalesce(1).mapInPandas(run, "index array<int>, weight array<float>, intercept double").first()
-    if out is None:  # no labelled rows
+    if out is None:
         return fit([], [])
     return Model(np.array(out["index"], np.int32), np.array(out["weight"], np.float32), out["intercept"])
 
 
-def fit_frame(frames: list[pd.DataFrame], epochs: int) -> Model:
-    if not frames:
-        return fit([], [], epochs)
-    rows = pd.concat(frames).sort_values(["turn", "doc_id"], kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].tolist(), epochs)
+def fit_frames(frames: list[pd.DataFrame], epochs: int) -> Iterator[Model]:
+    """One model of the frames' rows (``doc_id, text, toxic, turn``), its bound placed; none without rows."""
+    rows = pd.concat(frames).sort_values(["turn", "doc_id"], kind="stable") if frames else pd.DataFrame()
+    if rows.empty:
+        return
+    aside = np.array([crc32(f"bound {i}".encode()) % FOLDS == 0 for i in rows["doc_id"]])
+    if aside.all():
+        aside[:] = False
+    model = fit(rows["text"][~aside].tolist(), rows["toxic"][~aside].tolist(), epochs)
+    margin = model.margins()
+    found = np.array([margin(t) for t in rows["text"][aside]], np.float64)
+    labels = rows["toxic"][aside].to_numpy()
+    model.intercept -= bound(found[labels == 0], found[labels == 1])
+    yield model
+
+
+def bound(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The margin from which a text is held to be toxic, from those of rows that were not learned from."""
+    if not len(clean) or not len(toxic):
+        return 0.0
+    least = float(np.quantile(clean, 1 - FALSE_ALARMS, method="higher"))
+    most = float(np.quantile(toxic, MISSED, method="lower"))
+    return (least + most) / 2 if least < most else float(np.nextafter(least, math.inf))
 
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
