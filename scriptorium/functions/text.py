@@ -6,6 +6,7 @@ Length gates count UTF-8 bytes, slices count characters, so no character is ever
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import partial
 
 from pyspark.sql import Column
@@ -75,7 +76,8 @@ def first_tag(html: Column | str, tag: str) -> Column:
 
 
 def strip_tags(html: Column | str) -> Column:
-    return F.regexp_replace(_c(html), "<[^>]*(>|$)", "")
+    """Without tags; a ``>`` outside a tag goes too."""
+    return F.translate(F.regexp_replace(_c(html), "<[^>]*(>|$)", ""), ">", "")
 
 
 def truncate(x: Column | str, most: int) -> Column:
@@ -199,13 +201,15 @@ def size_label(count: Column | str) -> Column:
 
 
 def relative_date(day: Column, today: Column) -> Column:
+    """Today, Yesterday, days (negative for days to come), weeks, then the date, with its year if it isn't this one."""
     n = F.datediff(today, day)
+    same_year = F.year(day) == F.year(today)
     return (
         F.when(n == 0, "Today")
         .when(n == 1, "Yesterday")
         .when(n < 7, F.concat(n, F.lit("d ago")))
         .when(n < 30, F.concat(F.floor(n / 7), F.lit("w ago")))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(F.when(same_year, F.date_format(day, "MMM d")).otherwise(F.date_format(day, "MMM d, yyyy")))
     )
 
 
@@ -215,4 +219,15 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _folded() -> tuple[str, str]:
+    """Lower-case letters with diacritics that Unicode decomposes to a Latin, Greek or Cyrillic letter, and that letter."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        c = chr(code)
+        base = unicodedata.normalize("NFD", c)
+        if c.islower() and len(base) > 1 and base[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in base[1:]):
+            pairs.append((c, base[0]))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _folded()

@@ -57,9 +57,9 @@ def latest_tombstones(tombstones: DataFrame) -> DataFrame:
 
 
 def without_deleted(cells: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Cells of rows that are not deleted: a tombstone removes a row if none of its cells is newer."""
+    """Cells of rows that are not deleted: a tombstone removes a row if it is newer than all of its cells."""
     newest = cells.groupBy("tbl", "row_id").agg(F.max(clock()).alias("changed_at"))
-    dead = latest_tombstones(tombstones).join(newest, ["tbl", "row_id"]).where(F.col("deleted_at") >= F.col("changed_at"))
+    dead = latest_tombstones(tombstones).join(newest, ["tbl", "row_id"]).where(F.col("deleted_at") > F.col("changed_at"))
     return cells.join(dead.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti")
 
 

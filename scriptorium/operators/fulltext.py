@@ -1,29 +1,40 @@
-"""Full-text search: an inverted index as a table, phrases and prefixes, BM25 with column weights, snippets.
+"""Full-text search: an inverted index in files, phrases and prefixes, BM25 with column weights, snippets.
 
-The index holds a row for each (term, document, column) with its positions. Written with :func:`write_index` it is
-bucketed by term, so that a query reads only the buckets and row groups of its terms. Scores are BM25 with
-k1 = 1.2 and b = 0.75; the frequency of a phrase is the sum of its hits weighted by column, a document's length is
-the number of tokens of both columns, and a document must hold every phrase.
+The index holds a row for each (term, document, column) with its positions. It is written in segments, each laid out by
+a bucket of the terms' first letters and sorted by term, so that a query reads only the buckets and row groups of its
+terms, prefixes included. Documents are added as new segments; removing or replacing one writes its id to a small table
+of removals that readers subtract, and a rebuild writes one segment anew.
+
+Scores are BM25 with k1 = 1.2 and b = 0.75; the frequency of a phrase is the sum of its hits weighted by column, a
+document's length is the number of tokens of both columns, and a document must hold every phrase. The same functions
+score a DataFrame of tokenised documents, one scan a query, where there is no index.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.stemming import stem_column
+from ..functions.stemming import stem, stem_column
+from ..session import scratch
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 5.0, "body": 1.0}
 LONGEST_QUERY = 1000
 
 
+_FOLDED = str.maketrans(X.ACCENTED, X.PLAIN)
+BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Phrase:
     tokens: tuple[str, ...]
@@ -31,31 +42,32 @@ class Phrase:
 
 
 def fold(word: str) -> list[str]:
-    plain = word.lower().translate(str.maketrans(X.ACCENTED, X.PLAIN))
+    plain = word.lower().translate(_FOLDED)
     return [w for w in re.split(r"[^\w]+|_", plain) if w]
 
 
-def parse(query: str) -> list[Phrase]:
+def parse(query: str, stemmed: bool = False) -> list[Phrase]:
     """Each word is a phrase of its tokens; the last word, and any that ends in ``*``, matches as a prefix.
 
-    Empty or too long queries are errors; a query of signs alone has no phrases and finds nothing.
+    Quotes and backslashes are dropped; a last word of nothing else still is the last. Empty or too long queries are
+    errors; a query of signs alone has no phrases and finds nothing. ``stemmed``: tokens become their stems.
     """
     if not query.strip() or len(query.encode()) > LONGEST_QUERY:
         raise ValueError("a query has 1 to 1000 bytes")
-    raw = [w.replace('"', "").replace("\\", "") for w in query.split()]
-    raw = [w for w in raw if w]
+    words = query.split()
     out = []
-    for n, word in enumerate(raw):
-        tokens = tuple(fold(word))
+    for n, word in enumerate(words):
+        word = word.replace('"', "").replace("\\", "")
+        tokens = tuple(stem(t) for t in fold(word)) if stemmed else tuple(fold(word))
         if tokens:
-            out.append(Phrase(tokens, word.endswith("*") or n == len(raw) - 1))
+            out.append(Phrase(tokens, word.endswith("*") or n == len(words) - 1))
     return out
 
 
-def documents(content: DataFrame, stem: bool = False, id_col: str = "doc_id", title: Column | None = None, text_col: str = "text") -> DataFrame:
+def documents(content: DataFrame, stemmed: bool = False, id_col: str = "doc_id", title: Column | None = None, text_col: str = "text") -> DataFrame:
     """``doc_id, title, body`` as arrays of terms."""
     title = X.first_line(text_col) if title is None else title
-    terms: Callable[[Column], Column] = (lambda c: stem_column(X.tokens(c))) if stem else X.tokens
+    terms: Callable[[Column], Column] = (lambda c: stem_column(X.tokens(c))) if stemmed else X.tokens
     return content.select(F.col(id_col).alias("doc_id"), terms(title).alias("title"), terms(F.col(text_col)).alias("body"))
 
 
@@ -68,13 +80,125 @@ def postings(docs: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).groupBy("term", "doc_id", "column").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
 
 
-def write_index(docs: DataFrame, name: str, buckets: int = 64) -> None:
-    """The index as a table bucketed and sorted by term."""
-    postings(docs).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(name)
-
-
-def corpus_size(docs: DataFrame) -> tuple[int, float]:
+def _follows(k: int) -> Callable[[Column], Column]:
+    return lambda p: F.array_contains(f"p{k}", p + k)
+
+
+def _all_of(tests: list[Callable[[Column], Column]]) -> Callable[[Column], Column]:
+    return lambda x: reduce(lambda a, b: a & b, [t(x) for t in tests], F.lit(True))
+
+
+def bucket(term: Column) -> Column:
+    """Terms that begin with the same two letters share a bucket, so a prefix of two letters reads one."""
+    return F.pmod(F.xxhash64(F.left(term, F.lit(2))), F.lit(BUCKETS)).cast("int")
+
+
+class TextIndex:
+    """An index under one folder; ``docs`` everywhere are ``doc_id, title, body`` as :func:`documents` gives them."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, stemmed: bool = False):
+        self.spark, self.root, self.stemmed = spark, root or scratch(spark, "text-index"), stemmed
+        #: Paths in the order of writing, and whether they hold a segment or removals.
+        self.parts: list[tuple[bool, str]] = []
+
+    @classmethod
+    def opened(cls, spark: SparkSession, root: str) -> TextIndex:
+        """An index that was written before: its last manifest says what it holds."""
+        rows = spark.read.parquet(f"{root}/manifest").collect()  # a row for each change
+        out = cls(spark, root, rows[0]["stemmed"])
+        last = max(r["version"] for r in rows)
+        out.parts = [(r["segment"], f"{root}/{r['name']}") for r in sorted(rows, key=lambda r: r["n"]) if r["version"] == last and r["name"]]
+        return out
+
+    def _add(self, segment: bool, path: str) -> None:
+        self.parts.append((segment, path))
+        self._record()
+
+    def _record(self) -> None:
+        version = getattr(self, "version", 0) + 1
+        rows = [(version, n, s, p.removeprefix(f"{self.root}/"), self.stemmed) for n, (s, p) in enumerate(self.parts)]
+        rows = rows or [(version, 0, False, "", self.stemmed)]
+        frame = self.spark.createDataFrame(rows, "version int, n int, segment boolean, name string, stemmed boolean")
+        frame.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self.version = version
+
+    def add(self, docs: DataFrame) -> int:
+        """Writes the documents as a new segment and returns how many they are."""
+        path = f"{self.root}/segment-{len(self.parts)}-{uuid.uuid4().hex[:8]}"
+        rows = postings(docs).withColumn("bucket", bucket(F.col("term")))
+        rows = rows.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
+        rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+        docs.select("doc_id", (F.size("title") + F.size("body")).cast("long").alias("length")).write.parquet(f"{path}/docs")
+        self._add(True, path)
+        return self.spark.read.parquet(f"{path}/docs").count()
+
+    def remove(self, ids: DataFrame) -> None:
+        """The documents ``ids(doc_id)`` are no longer found, unless they are added again."""
+        path = f"{self.root}/removed-{len(self.parts)}-{uuid.uuid4().hex[:8]}"
+        ids.select("doc_id").distinct().write.parquet(path)
+        self._add(False, path)
+
+    def replace(self, docs: DataFrame) -> int:
+        """Documents are indexed anew, whether they were there or not."""
+        self.remove(docs)
+        return self.add(docs)
+
+    def rebuild(self, docs: DataFrame) -> int:
+        """One segment of ``docs`` in place of all that there is; returns how many documents it holds."""
+        self.parts = []
+        return self.add(docs)
+
+    def _live(self, table: str, condition: Column | None = None) -> DataFrame | None:
+        """Rows of all segments without those of documents removed later."""
+        out = None
+        for n, (segment, path) in enumerate(self.parts):
+            if not segment:
+                continue
+            rows = self.spark.read.parquet(f"{path}/{table}")
+            rows = rows.where(condition) if condition is not None else rows
+            for later, gone in self.parts[n + 1 :]:
+                if not later:
+                    rows = rows.join(self.spark.read.parquet(gone), "doc_id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def postings(self, token: str | None = None, prefix: bool = False) -> DataFrame:
+        """``term, doc_id, column, positions, length`` of a term, of the terms with a prefix, or of all."""
+        condition = None
+        if token is not None:
+            condition = F.col("term").startswith(token) if prefix else F.col("term") == token
+            if not prefix or len(token) >= 2:
+                condition = (F.col("bucket") == bucket(F.lit(token))) & condition
+        rows = self._live("postings", condition)
+        return rows.drop("bucket") if rows is not None else self.spark.createDataFrame([], "term string, doc_id long, column string, positions array<int>, length long")
+
+    def corpus_size(self) -> tuple[int, float]:
+        rows = self._live("docs")
+        r = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("l")).first() if rows is not None else None
+        return (r["n"], r["l"] or 1.0) if r else (0, 1.0)
+
+    def hits(self, phrases: list[Phrase], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+        """``doc_id, length, f0, f1 …``, as :func:`hits` of documents: only postings of the phrases' terms are read."""
+        parts = []
+        for n, phrase in enumerate(phrases):
+            places = None
+            for k, token in enumerate(phrase.tokens):
+                prefix = phrase.prefix and k == len(phrase.tokens) - 1
+                held = self.postings(token, prefix).groupBy("doc_id", "column").agg(F.flatten(F.collect_list("positions")).alias(f"p{k}"), F.max("length").alias(f"l{k}"))
+                places = held if places is None else places.join(held, ["doc_id", "column"])
+            follows = [_follows(k) for k in range(1, len(phrase.tokens))]
+            after = _all_of(follows)
+            weight = reduce(lambda a, kv: F.when(F.col("column") == kv[0], F.lit(float(kv[1]))).otherwise(a), weights.items(), F.lit(0.0))
+            parts.append(places.select("doc_id", F.col("l0").alias("length"), F.lit(n).alias("phrase"), (F.size(F.filter("p0", after)) * weight).alias("f")))
+        found = reduce(DataFrame.unionByName, parts).where("f > 0")
+        sums = [F.coalesce(F.sum(F.when(F.col("phrase") == n, F.col("f"))), F.lit(0.0)).alias(f"f{n}") for n in range(len(phrases))]
+        return found.groupBy("doc_id").agg(F.max("length").alias("length"), *sums)
+
+
+def corpus_size(docs: DataFrame | TextIndex) -> tuple[int, float]:
     """Documents and their mean length: one row."""
+    if isinstance(docs, TextIndex):
+        return docs.corpus_size()
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.avg((F.size("title") + F.size("body")).cast("double")).alias("l")).first()
     return r["n"], r["l"] or 1.0
 
@@ -96,17 +220,19 @@ def _phrase_hits(phrase: Phrase, terms: str) -> Column:
     return F.size(F.filter(at, lambda part: F.coalesce(same(part), F.lit(False))))
 
 
-def hits(docs: DataFrame, phrases: list[Phrase], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def hits(docs: DataFrame | TextIndex, phrases: list[Phrase], weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """``doc_id, length, f0, f1 …`` of documents that hold a phrase: its weighted frequencies. One scan, no shuffle."""
+    if isinstance(docs, TextIndex):
+        return docs.hits(phrases, weights)
     frequencies = [sum((_phrase_hits(p, c) * F.lit(float(w)) for c, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(phrases)]
     found = docs.select("doc_id", (F.size("title") + F.size("body")).alias("length"), *frequencies)
     return found.where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(phrases))]))
 
 
-def bm25(docs: DataFrame, phrases: list[Phrase], weights: dict[str, float] = WEIGHTS, every: bool = True) -> DataFrame:
+def bm25(docs: DataFrame | TextIndex, phrases: list[Phrase], weights: dict[str, float] = WEIGHTS, every: bool = True) -> DataFrame:
     """``doc_id, score`` of the documents that hold every phrase (or any). The figures of a phrase cover all documents."""
     if not phrases:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+        return _session(docs).createDataFrame([], "doc_id long, score double")
     n, mean = corpus_size(docs)
     found = hits(docs, phrases, weights)
     names = [f"f{i}" for i in range(len(phrases))]
@@ -127,33 +253,36 @@ def _score(names: list[str], idfs: list[float], mean: float) -> Column:
     return sum((F.lit(w) * F.col(f) * F.lit(K1 + 1) / (F.col(f) + norm) for f, w in zip(names, idfs, strict=True)), F.lit(0.0))
 
 
-def bm25_indexed(index: DataFrame, terms: list[str], n: int, mean: float, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``doc_id, score`` from :func:`postings` for single terms, any of them: reads the terms' rows only."""
-    weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    per_doc = (
-        index.where(F.col("term").isin(terms))
-        .groupBy("term", "doc_id")
-        .agg(F.sum(F.size("positions") * weight[F.col("column")]).alias("f"), F.first("length").alias("length"))
-    )
-    holding = {r["term"]: r["n"] for r in per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a query term
-    if not holding:
-        return per_doc.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    idfs = F.create_map(*(F.lit(x) for t, h in holding.items() for x in (t, idf(n, h))))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean))
-    return per_doc.groupBy("doc_id").agg(F.sum(idfs[F.col("term")] * F.col("f") * F.lit(K1 + 1) / (F.col("f") + norm)).alias("score"))
+def _session(docs: DataFrame | TextIndex) -> SparkSession:
+    return docs.spark if isinstance(docs, TextIndex) else docs.sparkSession
 
 
-def search(docs: DataFrame, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
+def search(docs: DataFrame | TextIndex, query: str, limit: int = 50, offset: int = 0, stemmed: bool = False) -> DataFrame:
     """The page of ``doc_id, score`` that the query finds, best first."""
     limit, offset = min(max(limit, 1), 1000), max(offset, 0)
-    return bm25(docs, parse(query)).orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+    return bm25(docs, parse(query, stemmed)).orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
 
 
-def total(docs: DataFrame, query: str) -> DataFrame:
+def search_entries(index: TextIndex, query: str, entries: DataFrame, content: DataFrame, entry_tags: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The page of entries that the query finds, with ``score``, ``tags`` and ``snippet``.
+
+    Hits whose entry is gone are dropped. Texts are read for the page's rows only.
+    """
+    phrases = parse(query, index.stemmed)
+    found = bm25(index, phrases).withColumn("score", F.round("score", 6)).withColumnRenamed("doc_id", "id")
+    page = found.join(entries, "id").orderBy(F.desc("score"), "id").offset(max(offset, 0)).limit(min(max(limit, 1), 1000))
+    tags = entry_tags.groupBy(F.col("entry_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    texts = content.select(F.col("entry_id").alias("id"), "extracted_text")
+    out = page.join(tags, "id", "left").join(texts, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    terms = [(t, p.prefix and k == len(p.tokens) - 1) for p in phrases for k, t in enumerate(p.tokens)]
+    return out.withColumn("snippet", snippet(F.coalesce("extracted_text", F.lit("")), terms, stemmed=index.stemmed)).drop("extracted_text")
+
+
+def total(docs: DataFrame | TextIndex, query: str, stemmed: bool = False) -> DataFrame:
     """One row ``total``: the documents that hold every phrase."""
-    phrases = parse(query)
+    phrases = parse(query, stemmed)
     if not phrases:
-        return docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("total"))
+        return _session(docs).range(1).select(F.lit(0).cast("long").alias("total"))
     found = hits(docs, phrases).where(reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(phrases))]))
     return found.agg(F.count(F.lit(1)).alias("total"))
 
@@ -172,15 +301,37 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("hits"))
 
 
-def snippet(text: Column, terms: list[str], size: int = 40, left: str = "<mark>", right: str = "</mark>", more: str = "...") -> Column:
-    """``size`` words from the first that holds a term (or the start), with the terms marked."""
+def snippet(text: Column, terms: list[str] | list[tuple[str, bool]], size: int = 40, left: str = "<mark>", right: str = "</mark>", more: str = "...", stemmed: bool = False) -> Column:
+    """``size`` words from the first that holds a term (or the start), with the terms marked. A term may be a prefix."""
     words = X.words(text)
-    held = lambda w: reduce(lambda a, b: a | b, [F.array_contains(X.tokens(w), t) for t in terms])
+    pairs = [t if isinstance(t, tuple) else (t, False) for t in terms]
+    if stemmed:
+        # Stems are made of the whole text at once: those of the words, in their order, each a list of its tokens.
+        return _stemmed_snippet(text, pairs, size, left, right, more)
+    one = lambda tokens, t, prefix: F.exists(tokens, lambda w: w.startswith(t) if prefix else w == t)
+    held = lambda w: reduce(lambda a, b: a | b, [one(X.tokens(w), t, prefix) for t, prefix in pairs], F.lit(False))
     at = F.array_min(F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: held(s["w"])), lambda s: s["i"]))
     start = F.coalesce(at, F.lit(0))
     shown = F.transform(F.slice(words, start + 1, size), lambda w: F.when(held(w), F.concat(F.lit(left), w, F.lit(right))).otherwise(w))
     return F.concat(F.when(start > 0, more).otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > start + size, more).otherwise(""))
 
 
-def read_index(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
+def _stemmed_snippet(text: Column, pairs: list[tuple[str, bool]], size: int, left: str, right: str, more: str) -> Column:
+    """The same by stems, in a vectorised function."""
+    blanks = re.compile(r"[\s\x85\x1c-\x1f]+")
+
+    def held(word: str) -> bool:
+        stems = [stem(t) for t in fold(word)]
+        return any(s.startswith(t) if prefix else s == t for s in stems for t, prefix in pairs)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for value in texts:
+            words = [w for w in blanks.split(value or "") if w]
+            start = next((i for i, w in enumerate(words) if held(w)), 0)
+            shown = " ".join(left + w + right if held(w) else w for w in words[start : start + size])
+            out.append(more * (start > 0) + shown + more * (len(words) > start + size))
+        return pd.Series(out, dtype="object")
+
+    return run(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROWS = 200
@@ -81,8 +81,10 @@ def transferred(source: DataFrame, target: DataFrame, id_col: str = "id", url_co
     """
     fresh = source.join(target.select(id_col), id_col, "left_anti")
     fresh = fresh.join(target.where(F.col(url_col).isNotNull()).select(url_col), url_col, "left_anti")
-    first = Window.partitionBy(url_col).orderBy(id_col)
-    with_url = fresh.where(F.col(url_col).isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    # A minimum combines on the map side, so a URL that many rows share is one row for each task.
+    rest = [c for c in source.columns if c != url_col]
+    least = F.min(F.struct(id_col, *(c for c in rest if c != id_col))).alias("first")
+    with_url = fresh.where(F.col(url_col).isNotNull()).groupBy(url_col).agg(least).select(url_col, *(F.col(f"first.{c}").alias(c) for c in rest))
     return with_url.unionByName(fresh.where(F.col(url_col).isNull())).select(*source.columns)
 
 

@@ -29,14 +29,17 @@ TEMPLATES = {
 def hybrid(semantic: DataFrame, lexical: DataFrame, chunk_scores: DataFrame, k: int = FINAL) -> DataFrame:
     """``query_id, entry_id, chunk_index, score, rank`` for each question.
 
-    ``semantic(query_id, entry_id, chunk_index, score)``: chunks by similarity. ``lexical(query_id, entry_id)``: hits
-    of the full-text search. Hits whose entry is not among the first ones bring their entry's best chunk from
-    ``chunk_scores`` (same columns as ``semantic``), at 0.8 of its score. The best chunk of each entry stays.
+    ``semantic(query_id, entry_id, chunk_index, score)``: chunks by similarity, of which the best ten count.
+    ``lexical(query_id, entry_id, score)``: hits of the full-text search, of which the best five count. Those whose
+    entry is not among the first ones bring their entry's best chunk from ``chunk_scores`` (same columns as
+    ``semantic``), at 0.8 of its score. The best chunk of each entry stays.
     """
     keys = ["query_id", "entry_id"]
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id", "chunk_index")
     first = semantic.withColumn("n", F.row_number().over(per_query)).where(F.col("n") <= SEMANTIC).drop("n")
-    extra = lexical.select(*keys).distinct().join(first.select(*keys), keys, "left_anti")
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
+    hits = lexical.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= LEXICAL)
+    extra = hits.select(*keys).distinct().join(first.select(*keys), keys, "left_anti")
     best = best_chunk(chunk_scores.join(extra, keys, "left_semi"))
     both = first.unionByName(best.withColumn("score", F.col("score") * LEXICAL_FACTOR))
     ranked = best_chunk(both).withColumn("rank", F.row_number().over(per_query))
@@ -51,18 +54,23 @@ def best_chunk(scores: DataFrame) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, budget: int = BUDGET, text_col: str = "chunk_text", key: str = "query_id") -> DataFrame:
-    """Rows in order of ``rank`` while those before hold less than ``budget`` bytes, with ``label`` [1], [2] …"""
-    before = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.octet_length(text_col)).over(before), F.lit(0))
-    kept = rows.withColumn("used_before", used.cast("long")).where(F.col("used_before") < budget)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
-    return kept.withColumn("label", F.concat(F.lit("["), place.cast("string"), F.lit("]")))
+    """Rows in order of ``rank`` while those before hold less than ``budget`` bytes, with ``label`` [1], [2] …
+
+    ``rank`` is unique for a key. Only lengths are sorted; texts join the few rows that stay.
+    """
+    order = Window.partitionBy(key).orderBy("rank")
+    used = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.select(key, "rank", F.octet_length(text_col).alias("size"))
+    # Rows stay from the first on, so a row's number is its place among those that stay.
+    kept = sizes.select(key, "rank", used.cast("long").alias("used_before"), F.row_number().over(order).alias("n")).where(F.col("used_before") < budget)
+    kept = kept.withColumn("label", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]"))).drop("n")
+    return rows.join(kept, [key, "rank"])
 
 
 def history_tail(turns: DataFrame, count: int = HISTORY, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """The last ``count`` messages of each conversation, from the user or the assistant."""
+    """The last ``count`` messages of each conversation, whoever said them."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return turns.where(F.col("role").isin("user", "assistant")).withColumn("_n", place).where(F.col("_n") <= count).drop("_n")
+    return turns.withColumn("_n", place).where(F.col("_n") <= count).drop("_n")
 
 
 def prompt(sources: Column, history: Column, question: Column, template: str = "chatml") -> Column:

@@ -33,38 +33,38 @@ def cosine(a: Column, b: Column) -> Column:
 def neighbours(vectors: DataFrame, query_ids: list[int], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, vec_id, similarity``: the k nearest of every other vector for a few given ids.
 
-    The queries are a short list that the caller holds, so their vectors are literals and each is one scan with a
-    top-k: no join. An unknown id is an error.
+    The queries are a short list that the caller holds, so their vectors are literals: one scan, and a top-k that keeps
+    k rows a query in each task before the shuffle. An unknown id is an error.
     """
     held = {r[0]: r[1] for r in vectors.where(F.col(id_col).isin(query_ids)).select(id_col, vector_col).collect()}
     if absent := set(query_ids) - set(held):
         raise KeyError(f"no vector for {sorted(absent)}")
-    out = None
-    for q in query_ids:
-        array = F.array(*(F.lit(float(x)) for x in held[q]))
-        one = (
-            vectors.where(F.col(id_col) != q)
-            .select(F.lit(q).alias("query_id"), F.col(id_col).alias("vec_id"), cosine(F.col(vector_col), array).alias("similarity"))
-            .orderBy(F.desc("similarity"), "vec_id")
-            .limit(k)
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _by_blocks(vectors: DataFrame, id_col: str, vector_col: str, block: int, keep) -> DataFrame:
+    to = lambda q: cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in held[q])))
+    scores = F.array(*(F.struct(F.lit(q).alias("query_id"), to(q).alias("similarity")) for q in held))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.explode(scores).alias("s")).select("s.query_id", "vec_id", "s.similarity")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return rows.where("query_id <> vec_id").withColumn("n", rank).where(F.col("n") <= k).drop("n")
+
+
+def _by_blocks(left: DataFrame, right: DataFrame, id_col: str, vector_col: str, block: int, keep, half: bool = False) -> DataFrame:
     """``vec_id, neighbour, similarity`` of the pairs that ``keep`` takes from each block of similarities.
 
-    Vectors are dealt into blocks of a bounded size and every pair of blocks is one matrix product, so a task holds two
-    blocks. ``keep(similarities, ids, others)`` gives row and column numbers.
+    Both sides are dealt into blocks of a bounded size and every pair of blocks is one matrix product, so a task holds
+    two blocks. ``keep(similarities, ids, others)`` gives row and column numbers. ``half``: both sides are the same rows,
+    and a pair of blocks is multiplied once.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    both = rows.withColumn("other", F.explode(every))
-    side = lambda x, y: both.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col("id").alias("id"), F.col("v").alias("v"))
-    left, right = side("b", "other"), side("other", "b")
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        blocks = max(1, -(-rows.count() // block))
+        return rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+    (a, a_blocks), (b, b_blocks) = dealt(left), dealt(right)
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.withColumnRenamed("b", "x").withColumn("y", others(b_blocks))
+    b = b.withColumnRenamed("b", "y").withColumn("x", others(a_blocks))
+    if half:
+        a, b = a.where("x <= y"), b.where("x <= y")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -72,32 +72,56 @@ def _by_blocks(vectors: DataFrame, id_col: str, vector_col: str, block: int, kee
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         s = unit(np.array(a["v"].tolist(), float)) @ unit(np.array(b["v"].tolist(), float)).T
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        s[ids[:, None] == others[None]] = -np.inf
         i, j = keep(s, ids, others)
         return pd.DataFrame({"vec_id": ids[i], "neighbour": others[j], "similarity": s[i, j]})
 
-    schema = "vec_id long, neighbour long, similarity double"
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, schema)
-
+    keyed = lambda df: df.select("x", "y", "id", "v").groupBy("x", "y")
+    return keyed(a).cogroup(keyed(b)).applyInPandas(run, "vec_id long, neighbour long, similarity double")
 
-def all_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """The k nearest others of every vector: k rows of each block, ranked at the end."""
 
-    def best(s: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _best(k: int, others_only: bool):
+    def keep(s: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if others_only:
+            s[ids[:, None] == others[None]] = -np.inf
         order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
-        i = np.repeat(np.arange(len(ids)), order.shape[1])
-        j = order.ravel()
+        i, j = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
         real = s[i, j] > -np.inf
         return i[real], j[real]
 
-    found = _by_blocks(vectors, id_col, vector_col, block, best)
+    return keep
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("n", rank).where(F.col("n") <= k).drop("n")
 
 
+def all_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """The k nearest others of every vector: k rows of each block, ranked at the end."""
+    return _ranked(_by_blocks(vectors, vectors, id_col, vector_col, block, _best(k, True)), k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """``query_id, vec_id, similarity``: the k vectors nearest to each query, itself included if it is among them."""
+    found = _ranked(_by_blocks(queries, vectors, id_col, vector_col, block, _best(k, False)), k)
+    return found.select(F.col("vec_id").alias("query_id"), F.col("neighbour").alias("vec_id"), "similarity")
+
+
+def similarities(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """``query_id, vec_id, similarity`` of every query with every vector."""
+    found = _by_blocks(queries, vectors, id_col, vector_col, block, lambda s, ids, others: np.nonzero(np.ones(s.shape, bool)))
+    return found.select(F.col("vec_id").alias("query_id"), F.col("neighbour").alias("vec_id"), "similarity")
+
+
 def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """All pairs, the smaller id first, whose similarity is greater than ``above``."""
-    return _by_blocks(vectors, id_col, vector_col, block, lambda s, ids, others: np.nonzero((s > above) & (ids[:, None] < others[None])))
+    """All pairs of different ids, the smaller first, whose similarity is greater than ``above``."""
+
+    def keep(s: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = ids[:, None] < others[None] if np.array_equal(np.sort(ids), np.sort(others)) else ids[:, None] != others[None]
+        return np.nonzero((s > above) & one)
+
+    found = _by_blocks(vectors, vectors, id_col, vector_col, block, keep, half=True)
+    return found.select(F.least("vec_id", "neighbour").alias("vec_id"), F.greatest("vec_id", "neighbour").alias("neighbour"), "similarity")
 
 
 def mean_by(vectors: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:

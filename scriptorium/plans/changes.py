@@ -52,7 +52,7 @@ def lww_to_apply(spark, sf):
     "tombstone_apply",
     f"""WITH {LOG}, {WINNERS}, d AS (SELECT row_id, max((hlc_ts, hlc_counter, site_id)) AS dead FROM c WHERE col = 'error' AND row_id % 2 = 0 GROUP BY row_id),
 n AS (SELECT row_id, max((hlc_ts, hlc_counter, site_id)) AS changed FROM w WHERE col <> 'error' GROUP BY row_id)
-SELECT row_id, col, val, hlc_ts, hlc_counter FROM w WHERE col <> 'error' AND row_id NOT IN (SELECT row_id FROM d JOIN n USING (row_id) WHERE dead >= changed)""",
+SELECT row_id, col, val, hlc_ts, hlc_counter FROM w WHERE col <> 'error' AND row_id NOT IN (SELECT row_id FROM d JOIN n USING (row_id) WHERE dead > changed)""",
 )
 def tombstone_apply(spark, sf):
     log = A.changes(spark, sf)

@@ -10,7 +10,7 @@ from ..operators import chunks, keywords, retrieval, topics, vectors
 from ..operators import fulltext as S
 from ..sources import archive as A
 from .registry import Catalogue
-from .search import DOCS, docs, hit_sql
+from .search import DOCS, bm25_sql, docs, text_index
 
 C = Catalogue()
 
@@ -53,47 +53,75 @@ def embedding_codec(spark, sf):
     return back.select("vec_id", "bytes", F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"))
 
 
+# Chunks: every vector is one of two neighbouring chunks of an entry. Questions: the vectors whose id is divisible by 50.
+QUESTIONS = "q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0)"
+SCORES = f"""s AS (SELECT query_id, vec_id // 2 AS entry_id, CAST(vec_id % 2 AS INTEGER) AS chunk_index, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM q, embeddings e)"""
+
+
 @C.query(
     "best_chunk_per_entry",
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 3),
-s AS (SELECT query_id, label AS entry_id, vec_id AS chunk_index, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM q, embeddings e)
-SELECT query_id, entry_id, CAST(chunk_index AS INTEGER) AS chunk_index, score FROM s
+    f"""WITH {QUESTIONS}, {SCORES} SELECT query_id, entry_id, chunk_index, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id, entry_id ORDER BY score DESC, chunk_index) = 1""",
 )
 def best_chunk_per_entry(spark, sf):
-    return retrieval.best_chunk(_scores(spark, sf, 3))
+    e = A.read(spark, sf, "embeddings")
+    return retrieval.best_chunk(_as_chunks(vectors.similarities(e.where("vec_id % 50 = 0"), e)))
 
 
-def _scores(spark, sf, count):
-    """Similarities of all vectors to the first few, which are literals: entries are labels, chunks are vectors."""
-    e = A.read(spark, sf, "embeddings")
-    held = e.where(F.col("vec_id") < count).select("vec_id", "embedding").collect()  # ``count`` rows
-    out = [
-        F.struct(F.lit(r["vec_id"]).cast("long").alias("query_id"), F.round(vectors.cosine(F.array(*map(F.lit, map(float, r["embedding"]))), F.col("embedding")), 6).alias("score"))
-        for r in held
-    ]
-    rows = e.select(F.col("label").alias("entry_id"), F.col("vec_id").cast("int").alias("chunk_index"), F.explode(F.array(*out)).alias("s"))
-    return rows.select("s.query_id", "entry_id", "chunk_index", "s.score")
-
-
-_LEX = " OR ".join(f"({hit_sql(p, 'title')} + {hit_sql(p, 'body')}) > 0" for p in S.parse("scum idiot"))
-HYBRID_SQL = f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 3),
-s AS (SELECT query_id, label AS entry_id, vec_id AS chunk_index, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM q, embeddings e),
-f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id, chunk_index) <= 10), {DOCS},
-l AS (SELECT DISTINCT query_id, CAST(doc_id % 10 AS INTEGER) AS entry_id FROM q, d WHERE ({_LEX}) AND doc_id % 3 = query_id),
-x AS (SELECT s.query_id, s.entry_id, chunk_index, score * 0.8 AS score FROM s SEMI JOIN (SELECT * FROM l ANTI JOIN f USING (query_id, entry_id)) USING (query_id, entry_id)
+def _as_chunks(found):
+    """Vectors as chunks of entries."""
+    return found.select("query_id", F.floor(F.col("vec_id") / 2).alias("entry_id"), (F.col("vec_id") % 2).cast("int").alias("chunk_index"), F.round("similarity", 6).alias("score"))
+
+
+#: Words that a question is searched by, in turn.
+ASKED = ("the thti", "scum idiot", "then that re")
+
+
+def _lexical_sql() -> str:
+    """The full-text hits of every question, with their scores."""
+    parts = []
+    for n, text in enumerate(ASKED):
+        ranked = bm25_sql(text, limit=1_000_000_000).strip().removeprefix(f"WITH {DOCS},").strip()
+        parts.append(f"SELECT {n} AS turn, * FROM (WITH {ranked})")
+    return f"x AS ({' UNION ALL '.join(parts)}), l AS (SELECT query_id, doc_id AS entry_id, score FROM q JOIN x ON x.turn = (query_id // 50) % {len(ASKED)})"
+
+
+HYBRID_SQL = f"""WITH {DOCS}, {QUESTIONS}, {SCORES},
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id, chunk_index) <= 10),
+{_lexical_sql()},
+five AS (SELECT query_id, entry_id FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) <= 5),
+k AS (SELECT s.query_id, s.entry_id, chunk_index, score * 0.8 AS score FROM s SEMI JOIN (SELECT * FROM five ANTI JOIN f USING (query_id, entry_id)) USING (query_id, entry_id)
   QUALIFY row_number() OVER (PARTITION BY query_id, entry_id ORDER BY s.score DESC, chunk_index) = 1),
-a AS (SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM x) QUALIFY row_number() OVER (PARTITION BY query_id, entry_id ORDER BY score DESC, chunk_index) = 1),
+a AS (SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM k) QUALIFY row_number() OVER (PARTITION BY query_id, entry_id ORDER BY score DESC, chunk_index) = 1),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id, chunk_index) AS INTEGER) AS rank FROM a)
-SELECT query_id, entry_id, CAST(chunk_index AS INTEGER) AS chunk_index, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+SELECT query_id, entry_id, chunk_index, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+
+
+def lexical_hits(spark, sf):
+    """``query_id, entry_id, score``: what the full-text index finds for each question."""
+    index = text_index(spark, sf)
+    found = None
+    for n, text in enumerate(ASKED):
+        one = S.bm25(index, S.parse(text)).select(F.lit(n).alias("turn"), F.col("doc_id").alias("entry_id"), F.round("score", 6).alias("score"))
+        found = one if found is None else found.union(one)
+    questions = A.read(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    turn = (F.floor(F.col("query_id") / 50) % len(ASKED)).cast("int")
+    best = Window.partitionBy("turn").orderBy(F.desc("score"), "entry_id")  # a search returns its best five
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= retrieval.LEXICAL).drop("n")
+    return questions.withColumn("turn", turn).join(found, "turn").drop("turn")
 
 
 @C.query("hybrid_retrieve", HYBRID_SQL)
 def hybrid_retrieve(spark, sf):
-    scores = _scores(spark, sf, 3)
-    found = S.bm25(docs(spark, sf), S.parse("scum idiot"), every=False)
-    lexical = found.select((F.col("doc_id") % 3).alias("query_id"), (F.col("doc_id") % 10).cast("int").alias("entry_id"))
-    return retrieval.hybrid(scores, lexical, scores).withColumn("score", F.round("score", 6))
+    e = A.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    questions = e.where("vec_id % 50 = 0")
+    semantic = _as_chunks(vectors.nearest(questions, e, retrieval.SEMANTIC))
+    hits = lexical_hits(spark, sf)
+    # Similarities to a question are needed of the chunks of its few hits only.
+    asked = questions.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    held = hits.select("query_id", "entry_id").join(asked, "query_id").join(e.withColumn("entry_id", F.floor(F.col("vec_id") / 2)), "entry_id")
+    chunk_scores = _as_chunks(held.withColumn("similarity", vectors.cosine(F.col("asked"), F.col("embedding"))))
+    return retrieval.hybrid(semantic, hits, chunk_scores).withColumn("score", F.round("score", 6))
 
 
 @C.query("chunk_documents")
@@ -128,24 +156,24 @@ def keywords_yake(spark, sf):
 WORDS_AS_KEYWORDS = f"k AS (SELECT doc_id AS entry_id, w AS keyword, round(1.0 / (1 + min(i)), 9) AS score FROM (SELECT doc_id, unnest(title) AS w, generate_subscripts(title, 1) AS i FROM d) GROUP BY doc_id, w)"
 
 
-@C.query("keywords_top", f"WITH {DOCS}, {WORDS_AS_KEYWORDS} SELECT keyword, count(*) AS count, min(score) AS best FROM k GROUP BY keyword ORDER BY count DESC, best, keyword LIMIT 20")
-def keywords_top(spark, sf):
+@C.query("title_words_top", f"WITH {DOCS}, {WORDS_AS_KEYWORDS} SELECT keyword, count(*) AS count, min(score) AS best FROM k GROUP BY keyword ORDER BY count DESC, best, keyword LIMIT 20")
+def title_words_top(spark, sf):
     return keywords.top_keywords(_title_words(spark, sf), 20)
 
 
 def _title_words(spark, sf):
-    """Words of titles stand in for stored keywords: the earlier, the better."""
+    """Words of titles, the earlier the better, in the form of stored keywords."""
     w = docs(spark, sf).select(F.col("doc_id").alias("entry_id"), F.posexplode("title").alias("i", "keyword"))
     return w.groupBy("entry_id", "keyword").agg(F.round(F.lit(1.0) / (F.lit(2) + F.min("i")), 9).alias("score"))
 
 
 @C.query(
-    "topic_labels",
+    "title_word_labels",
     f"""WITH {DOCS}, {WORDS_AS_KEYWORDS}, c AS (SELECT source, keyword, count(*) AS n, min(score) AS best FROM k JOIN documents ON doc_id = entry_id GROUP BY source, keyword
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, best, keyword) <= 3)
 SELECT source AS topic, string_agg(keyword, ' / ' ORDER BY n DESC, best, keyword) AS label FROM c GROUP BY source""",
 )
-def topic_labels(spark, sf):
+def title_word_labels(spark, sf):
     members = A.read(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("source").alias("topic"))
     return topics.labels(members, _title_words(spark, sf))
 
@@ -155,15 +183,15 @@ def _text_keywords(spark, sf):
     return keywords.entry_keywords(e)
 
 
-@C.query("keywords_top_of_texts")
-def keywords_top_of_texts(spark, sf):
-    """The most frequent keywords of whole texts; ``keywords_top`` counts words of titles, which SQL can."""
+@C.query("keywords_top")
+def keywords_top(spark, sf):
+    """The most frequent keywords of whole texts; tested against plain Python."""
     return keywords.top_keywords(_text_keywords(spark, sf), 20)
 
 
-@C.query("topic_labels_of_texts")
-def topic_labels_of_texts(spark, sf):
-    """Labels from keywords of whole texts; ``topic_labels`` takes words of titles, which SQL can."""
+@C.query("topic_labels")
+def topic_labels(spark, sf):
+    """Labels from keywords of whole texts; tested against plain Python."""
     members = A.read(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.col("source").alias("topic"))
     return topics.labels(members, _text_keywords(spark, sf))
 
@@ -173,20 +201,28 @@ def topics_hdbscan(spark, sf):
     return topics.clusters(A.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
-@C.query(
-    "similar_pairs",
-    f"SELECT a.vec_id, b.vec_id AS neighbour, round({PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {PAIR} > 0.5",
-)
+#: Every fifth vector once more, under another id, slightly turned.
+COPIED = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * CASE WHEN i % 4 = 1 THEN 1.25 ELSE 1.0 END) FROM embeddings WHERE vec_id % 5 = 0)"
+
+
+def _copied(spark, sf):
+    e = A.read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.transform("embedding", lambda x, i: x * F.when(i % 4 == 0, 1.25).otherwise(1.0))
+    return e.union(e.where("vec_id % 5 = 0").select(F.col("vec_id") + 1_000_000, turned))
+
+
+def _pairs_sql(above: float) -> str:
+    return f"WITH {COPIED} SELECT a.vec_id, b.vec_id AS neighbour, round({PAIR}, 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE {PAIR} > {above}"
+
+
+@C.query("similar_pairs", _pairs_sql(0.4))
 def similar_pairs(spark, sf):
-    return vectors.similar_pairs(A.read(spark, sf, "embeddings"), 0.5, block=200).withColumn("similarity", F.round("similarity", 6))
+    return vectors.similar_pairs(_copied(spark, sf), 0.4, block=200).withColumn("similarity", F.round("similarity", 6))
 
 
-@C.query(
-    "near_duplicates",
-    f"SELECT a.vec_id, b.vec_id AS neighbour, round({PAIR}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {PAIR} > 0.95",
-)
+@C.query("near_duplicates", _pairs_sql(0.95))
 def near_duplicates(spark, sf):
-    return vectors.similar_pairs(A.read(spark, sf, "embeddings"), 0.95).withColumn("similarity", F.round("similarity", 6))
+    return vectors.similar_pairs(_copied(spark, sf), 0.95).withColumn("similarity", F.round("similarity", 6))
 
 
 @C.query(
@@ -201,7 +237,7 @@ def context_budget(spark, sf):
     return retrieval.within_budget(ranked).select("query_id", "doc_id", "used_before", "label")
 
 
-TAIL = "h AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)"
+TAIL = "h AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)"
 
 
 @C.query("history_tail", f"WITH {TAIL} SELECT conv_id, turn, role FROM h")

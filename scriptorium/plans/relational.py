@@ -11,7 +11,7 @@ from ..operators import tagging as T
 from ..sources import archive as A
 from ..sources import html
 from .registry import Catalogue
-from .search import DOCS, FIRST, docs, hit_sql
+from .search import DOCS, FIRST, hit_sql, text_index
 
 C = Catalogue()
 
@@ -72,7 +72,7 @@ SIMILAR = f"SELECT tag, count(*) AS count FROM b JOIN d ON d.doc_id = b.entry_id
 
 
 def similar_ids(spark, sf):
-    return S.bm25(docs(spark, sf), S.parse(TITLE)).select("doc_id")
+    return S.bm25(text_index(spark, sf), S.parse(TITLE)).select("doc_id")
 
 
 @C.query("tags_similar_title", f"WITH {DOCS}, {TAGS} {SIMILAR} ORDER BY count DESC, tag LIMIT 10")
@@ -190,18 +190,17 @@ TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', '
 
 
 def _cut(x: str, most: int) -> str:
-    """Truncation, for texts that are ASCII or shorter than the limit."""
-    return (
-        f"CASE WHEN strlen({x}) <= {most} THEN {x} WHEN regexp_matches(left({x}, {most}), ' ') AND strlen(regexp_extract(left({x}, {most}), '^(.*) ', 1)) > {most // 2} "
-        f"THEN regexp_extract(left({x}, {most}), '^(.*) ', 1) ELSE left({x}, {most}) END"
-    )
+    """Truncation to bytes at a blank beyond the middle, else to characters."""
+    whole = f"left({x}, list_max(list_filter(range(0, {most + 1}), lambda k: strlen(left({x}, k)) <= {most})))"
+    before = f"regexp_extract({whole}, '(?s)^(.*) ', 1)"
+    return f"CASE WHEN strlen({x}) <= {most} THEN {x} WHEN contains({whole}, ' ') AND strlen({before}) > {most // 2} THEN {before} ELSE left({x}, {most}) END"
 
 
 _JUNK_H = "', '".join(X.JUNK_HEADINGS)
 
 
 def _heading(tag: str) -> str:
-    t = TRIM.format(f"regexp_replace(regexp_extract(html, '(?s)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*(>|$)', '', 'g')")
+    t = TRIM.format(f"replace(regexp_replace(regexp_extract(html, '(?s)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*(>|$)', '', 'g'), '>', '')")
     return f"CASE WHEN strlen({t}) >= 5 AND lower({t}) NOT IN ('{_JUNK_H}') AND NOT (starts_with(lower({t}), '1.') AND strlen({t}) < 20) THEN {_cut(t, 150)} END"
 
 
@@ -216,28 +215,20 @@ _BODY = "|".join(X.BODY_STARTS)
 
 @C.query(
     "title_from_text",
-    rf"""WITH l AS (SELECT doc_id, unnest(generate_series(0, least(len(string_split_regex(text, '\r?\n')), 30) - 1)) AS pos, string_split_regex(text, '\r?\n') AS ls FROM documents
-  WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+    rf"""WITH l AS (SELECT doc_id, unnest(generate_series(0, least(len(string_split_regex(text, '\r?\n')), 30) - 1)) AS pos, string_split_regex(text, '\r?\n') AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 t AS (SELECT doc_id, pos, {TRIM.format('ls[pos + 1]')} AS line FROM l),
-w AS (SELECT *, strlen(line) AS size, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS words FROM t),
+w AS (SELECT *, strlen(line) AS size, list_filter(regexp_split_to_array(line, '[\s\p{{Z}}\x{{85}}]+'), lambda x: x <> '') AS words FROM t),
 s AS (SELECT doc_id, pos, line, greatest(25 - pos, 0) + CASE WHEN size BETWEEN 30 AND 120 THEN 10 WHEN size < 30 THEN 3 ELSE 0 END
   + CASE WHEN line LIKE '%.' THEN 0 ELSE 5 END - CASE WHEN regexp_matches(lower(line), '^({_BODY})') THEN 15 ELSE 0 END
-  - CASE WHEN size < 30 AND line = upper(line) THEN 10 ELSE 0 END
-  + CASE WHEN len(words) >= 3 AND len(list_filter(words, lambda x: regexp_matches(x, '^[A-Z]'))) > len(words) // 2 THEN 5 ELSE 0 END AS score
+  - CASE WHEN size < 30 AND line = upper(line) AND NOT regexp_matches(line, '\p{{Ll}}') THEN 10 ELSE 0 END
+  + CASE WHEN len(words) >= 3 AND len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}'))) > len(words) // 2 THEN 5 ELSE 0 END AS score
   FROM w WHERE size BETWEEN 10 AND 200 AND NOT (regexp_matches(lower(line), '^({_STARTS})') OR (starts_with(lower(line), 'page ') AND size < 15)
   OR (contains(line, '@') AND contains(line, '.')) OR starts_with(lower(line), 'subscriber access') OR regexp_matches(line, '^[0-9. -]*$'))),
 b AS (SELECT doc_id, line FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1)
-SELECT d.doc_id, {_cut('b.line', 120)} AS title FROM documents d LEFT JOIN b USING (doc_id) WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""",
+SELECT d.doc_id, {_cut('b.line', 120)} AS title FROM documents d LEFT JOIN b USING (doc_id)""",
 )
 def title_from_text(spark, sf):
-    """ASCII texts only, because there the SQL can count bytes and characters alike; the function takes any text."""
-    d = A.read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", X.text_title("text").alias("title"))
-
-
-@C.query("titles_of_all_texts")
-def titles_of_all_texts(spark, sf):
-    """A row for every document, of whatever characters; tested against plain Python, as SQL counts bytes otherwise."""
     return A.read(spark, sf, "documents").select("doc_id", X.text_title("text").alias("title"))
 
 
@@ -298,12 +289,13 @@ def size_labels(spark, sf):
 
 @C.query(
     "relative_dates",
-    """WITH o AS (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS n, o_orderdate FROM orders)
-SELECT o_orderkey, CASE WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Yesterday' WHEN n < 7 THEN n || 'd ago' WHEN n < 30 THEN (n // 7) || 'w ago' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS label FROM o WHERE n >= 0""",
+    """WITH o AS (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-02') AS n, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT o_orderkey, CASE WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Yesterday' WHEN n < 7 THEN n || 'd ago' WHEN n < 30 THEN (n // 7) || 'w ago'
+  WHEN year(day) = 1997 THEN strftime(day, '%b %-d') ELSE strftime(day, '%b %-d, %Y') END AS label FROM o""",
 )
 def relative_dates(spark, sf):
-    today, day = F.to_date(F.lit("1998-08-02")), F.to_date("o_orderdate")
-    return A.read(spark, sf, "orders").where(F.datediff(today, day) >= 0).select("o_orderkey", X.relative_date(day, today).alias("label"))
+    today, day = F.to_date(F.lit("1997-06-02")), F.to_date("o_orderdate")
+    return A.read(spark, sf, "orders").select("o_orderkey", X.relative_date(day, today).alias("label"))
 
 
 @C.query("tag_edit", f"WITH {TAGS}, g AS (SELECT entry_id, list_sort(list(tag)) AS tags FROM b GROUP BY entry_id) SELECT entry_id, list_filter(CASE WHEN list_contains(tags, 'new') THEN tags ELSE tags || ['new'] END, lambda t: t <> 'en') AS tags FROM g")

@@ -48,7 +48,7 @@ def brute_title(text):
 
 
 def test_every_document_has_a_title_row(spark, table):
-    got = catalogue.QUERIES["titles_of_all_texts"](spark, table(TEXTS)).collect()
+    got = catalogue.QUERIES["title_from_text"](spark, table(TEXTS)).collect()
     assert {r["doc_id"]: r["title"] for r in got} == {i: brute_title(t) for i, t in enumerate(TEXTS)}
     assert len(got) == len(TEXTS)
 
@@ -67,10 +67,10 @@ def test_keywords_come_from_whole_texts(spark, table):
     entries = [(f"Title number {i} of the series", body * (1 + i % 3) + f"Steam Ferry {i} sank.") for i in range(6)]
     sf = table([f"{title}\n{text}" for title, text in entries])
     whole = [(title, f"{title}\n{text}") for title, text in entries]
-    got = [(r["keyword"], r["count"], r["best"]) for r in catalogue.QUERIES["keywords_top_of_texts"](spark, sf).collect()]
+    got = [(r["keyword"], r["count"], r["best"]) for r in catalogue.QUERIES["keywords_top"](spark, sf).collect()]
     want = brute_ranked(whole)[:20]
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
     assert any("ferry" in g[0] for g in got)
-    labels = {r["topic"]: r["label"] for r in catalogue.QUERIES["topic_labels_of_texts"](spark, sf).collect()}
+    labels = {r["topic"]: r["label"] for r in catalogue.QUERIES["topic_labels"](spark, sf).collect()}
     assert labels == {f"src{k}": " / ".join(w[0] for w in brute_ranked(whole[k::2])[:3]) for k in range(2)}
