@@ -39,7 +39,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and reads it back.
 
     This cuts the lineage, fixes anything not deterministic (row ids) and survives lost executors.
@@ -47,7 +47,7 @@ def materialise(df: DataFrame, label: str, compression: str | None = None) -> Da
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.option("compression", compression) if compression else df.write
-    writer.parquet(path)
+    writer.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,29 +81,46 @@ def lowest(turn: Column, share: float) -> Column:
 FILTER_WORDS = 1 << 20
 
 
-def _flagged(rows: DataFrame, hashed: Column, members: DataFrame, most: int) -> tuple[DataFrame, str]:
-    words = 1 << max(6, min(most.bit_length() - 1, (members.count() // 4).bit_length()))
-    word, bits, place = unused(rows, "word", "bits", "place")
-    at = lambda c: F.pmod(c, F.lit(words * 64))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
-    held = members.select(at(F.col(members.columns[0])).alias(place))
-    table = held.groupBy(F.floor(F.col(place) / 64).alias(word)).agg(F.bit_or(bit(F.col(place))).alias(bits))
-    out = rows.withColumn(place, at(hashed)).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(table), word, "left")
-    return out.withColumn(bits, F.coalesce(F.col(bits).bitwiseAND(bit(F.col(place))) != 0, F.lit(False))).select(*rows.columns, bits), bits
+class BitFilter:
+    """Which of many 64-bit hashes may be among those of the first column of ``members``, a stored table.
 
+    One bit a hash, 16 bits for each member, kept as rows of 64 bits in the shared folder and broadcast where rows are
+    tested. It has at most ``most`` rows whatever the input; beyond that it lets more hashes pass, never fewer.
+    """
 
-def maybe_among(rows: DataFrame, hashed: Column, members: DataFrame, most: int = FILTER_WORDS) -> DataFrame:
-    """The rows whose 64-bit hash may be one of the first column of ``members``, a stored table: all that are, few others.
+    def __init__(self, members: DataFrame, most: int = FILTER_WORDS):
+        self.words = 1 << max(6, min(most.bit_length() - 1, (members.count() // 4).bit_length()))
+        place = self._place(F.col(members.columns[0]))
+        rows = members.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(self._bit(place)).alias("bits"))
+        self.rows = materialise(rows, "filter")
 
-    A filter of one bit a hash, 16 bits for each member, is broadcast, so that what a join would drop isn't shuffled.
-    It has at most ``most`` words of 64 bits whatever the input; beyond that it lets more rows pass, never fewer.
-    """
-    out, flag = _flagged(rows, hashed, members, most)
-    return out.where(flag).drop(flag)
+    def _place(self, hashed: Column) -> Column:
+        return F.pmod(hashed, F.lit(self.words * 64))
+
+    def _bit(self, place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+    def flagged(self, rows: DataFrame, hashed: Column) -> tuple[DataFrame, str]:
+        """``rows`` with a boolean column, and its name: false where the hash is certainly not among the members'."""
+        word, bits, place = unused(rows, "word", "bits", "place")
+        table = self.rows.select(F.col("word").alias(word), F.col("bits").alias(bits))
+        out = rows.withColumn(place, self._place(hashed)).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(table), word, "left")
+        held = F.coalesce(F.col(bits).bitwiseAND(self._bit(F.col(place))) != 0, F.lit(False))
+        return out.withColumn(bits, held).select(*rows.columns, bits), bits
+
+    def passed(self, rows: DataFrame, hashed: Column) -> DataFrame:
+        """The rows whose hash may be among the members': all that are, few others."""
+        out, flag = self.flagged(rows, hashed)
+        return out.where(flag).drop(flag)
+
+
+def maybe_among(rows: DataFrame, hashed: Column, members: DataFrame) -> DataFrame:
+    """Those rows that pass a filter of ``members``, so that what a join would drop isn't shuffled."""
+    return BitFilter(members).passed(rows, hashed)
 
 
-def without(rows: DataFrame, key: str, members: DataFrame, most: int = FILTER_WORDS) -> DataFrame:
-    """The rows whose 64-bit ``key`` is none of ``members(key)``, a stored table. Only rows that the filter of
-    :func:`maybe_among` doesn't clear are shuffled."""
-    out, flag = _flagged(rows, F.col(key), members, most)
+def without(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """The rows whose 64-bit ``key`` is none of ``members(key)``, a stored table. Only rows that a filter doesn't clear
+    are shuffled."""
+    out, flag = BitFilter(members).flagged(rows, F.col(key))
     return out.where(~F.col(flag)).drop(flag).unionByName(out.where(flag).drop(flag).join(members, key, "left_anti"))
