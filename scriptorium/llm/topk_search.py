@@ -1,18 +1,24 @@
 """Exact top-k search by inner product over two cover trees.
 
-Vectors are indexed in blocks of bounded size, queries in groups of bounded size; every pair of a block and a group is
-one unit of work with a cover tree for each side. The traversal visits pairs of nodes. For centres q, p and covering
-radii rq, rp no pair below scores more than <q, p> + rq |p| + rp |q| + rq rp; a pair of nodes is pruned when that is
-less than the worst kth score that the queries below q have so far. Equal bounds are visited, so ties are exact.
-What is left of each unit is at most k rows for a query; the last step ranks these.
+1. Every vector goes to the nearest of some centres, taken from a bounded sample, and the rows are dealt out and sorted
+   by centre. So neighbouring rows form cells, and a cell of any size, even of equal vectors, is spread over tasks.
+2. Each query is compared with the rows beside it. Its kth best score there is a bound for all that follows.
+3. Queries are taken in blocks of bounded size, which are broadcast with their bounds. Each task builds one cover tree
+   of the block and one of every run of a cell, and searches both together: for centres q, p and covering radii rq, rp
+   no pair below scores more than <q, p> + rq |p| + rp |q| + rq rp, and a pair of nodes is pruned when that is less
+   than the worst kth score among the queries below q. Scores are carried from run to run. Equal bounds are visited,
+   so ties are exact. A task returns what it has found at or above the bounds, k rows for a query at most.
 
-Scores are integers: components are scaled and floored, and products are summed in float64 only where no sum can
-reach 2 ** 53, else in Python's integers.
+No row is shuffled for a query: what moves beyond the first sorting are bounds and results.
+
+Scores are integers: components are scaled and floored. Products are summed in float64 where no sum can reach 2 ** 53;
+elsewhere float64 rules candidates out, with a margin for its error, and Python's integers rank the rest.
 
 Defined results: vectors that are null, hold null or non-finite components, or have no id take no part; empty vectors
 score 0 with each other; vectors of another length than a query's are no candidates for it; rows are told apart by a
-row number, so of repeated rows each is a candidate for the other; fewer than k candidates give fewer rows; an empty
-table gives an empty result; other columns are ignored.
+row number, so of repeated rows each is a candidate for the other; fewer than k candidates give fewer rows; a score
+beyond a 64-bit integer is given as its bound, and such scores are ranked by task first; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +35,10 @@ from . import common
 
 K = 5
 SCALE = 256
-BLOCK = 8_192
-GROUP = 1_024
+#: Rows of a cell on average, the most cells (their centres are broadcast), and rows that may be drawn for them.
+CELL_ROWS, CELLS = 4_096, 4_096
+#: The most rows of a cell in one tree, and the most queries in a block.
+RUN, BLOCK = 8_192, 32_768
 LEAF = 512
 QUERY_LEAF = 128
 FAN = 16
@@ -43,20 +51,30 @@ class Node:
     norm: float
     rows: np.ndarray
     children: list[Node] = field(default_factory=list)
+    #: The distance within which every row lies from the centre of its child.
+    cover: float = 0.0
 
 
 def cover_tree(points: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> Node:
-    """Centres of a level are chosen farthest first until every point lies within half its parent's radius of one,
-    or there are ``fan`` of them; each point goes to its nearest centre. Radii are those of the points held, so the
-    bounds hold either way. Leaves hold at most ``leaf`` points, or points that are all the same."""
+    """A cover tree whose levels need no common base.
+
+    Centres of a level are chosen farthest first, the parent's own first (nesting), until every point lies within half
+    its parent's radius of one, or there are ``fan`` of them. The distance reached then is the level's scale: no point
+    lies farther from the centre it goes to (covering), no two centres are nearer to each other (separation). Leaves
+    hold at most ``leaf`` points, or points that are all the same.
+    """
     return _node(points, np.arange(len(points)), leaf, fan)
 
 
 def _node(points: np.ndarray, rows: np.ndarray, leaf: int, fan: int) -> Node:
     local = points[rows]
-    squares = np.einsum("ij,ij->i", local, local)
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = np.einsum("ij,ij->i", local, local)
+        if not np.isfinite(squares.sum()):  # too large for distances: one leaf that is never pruned
+            return Node(local[0], np.inf, np.inf, rows)
     away = lambda i: np.sqrt(np.maximum(squares - 2 * (local @ local[i]) + squares[i], 0))
     near = away(0)
+    near[0] = 0
     radius = float(near.max())
     out = Node(local[0], radius * (1 + 1e-9), float(np.sqrt(squares[0])), rows)
     if len(rows) <= leaf or radius == 0:
@@ -65,8 +83,10 @@ def _node(points: np.ndarray, rows: np.ndarray, leaf: int, fan: int) -> Node:
     while len(centres) < fan and near.max() > radius / 2:
         centres.append(int(near.argmax()))
         d = away(centres[-1])
+        d[centres[-1]] = 0
         owner[d < near] = len(centres) - 1
         near = np.minimum(near, d)
+    out.cover = float(near.max())
     for n, c in enumerate(centres):
         mine = np.flatnonzero(owner == n)
         mine = np.concatenate([[c], mine[mine != c]])
@@ -74,102 +94,213 @@ def _node(points: np.ndarray, rows: np.ndarray, leaf: int, fan: int) -> Node:
     return out
 
 
-class Best:
-    """The best k (score, id, row) of each query, by score, then smaller id."""
+class Queries:
+    """Queries of one length, their tree, and what has been found for them: scores, ids, by score, then smaller id."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.score = np.full((queries, k), -np.inf)
-        self.row = np.full((queries, k), -1, np.int64)
+    def __init__(self, points: np.ndarray, uid: np.ndarray, least: np.ndarray, k: int = K):
+        self.points, self.uid, self.k = points, uid, k
+        self.least = least.astype(np.float64)
+        self.largest = float(np.abs(points).max(initial=0))
+        self.tree = cover_tree(points, QUERY_LEAF) if len(points) else None
+        self.found: list[list[tuple]] = [[] for _ in points]
 
     def worst(self, rows: np.ndarray) -> float:
-        return float(self.score[rows, -1].min())
-
-    def offer(self, queries: np.ndarray, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
-        """``scores``: for each query and candidate row; -inf where the row is no candidate."""
-        fits = scores >= self.score[queries, -1:]
-        better = np.flatnonzero(fits.any(1))
-        if not len(better):
+        return float(self.least[rows].min())
+
+    def offer(self, rows: np.ndarray, points: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
+        """Takes the best of ``points`` for the queries ``rows``; ``own``: uids of the points."""
+        a = self.points[rows]
+        size = a.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = a @ points.T
+            largest = self.largest * float(np.abs(points).max(initial=0)) * max(size, 1)
+            exact = largest < 2**53
+            slack = 0.0 if exact else largest * size * 1e-15
+            fits = ~(scores + slack < self.least[rows][:, None]) & (self.uid[rows][:, None] != own[None])
+            for n in np.flatnonzero(fits.any(1)):
+                q = rows[n]
+                at = np.flatnonzero(fits[n])
+                # Of float scores only those can stay that reach the kth best of this offer.
+                if len(at) > self.k:
+                    kth = np.partition(scores[n, at], -self.k)[-self.k]
+                    at = at[~(scores[n, at] + 2 * slack < kth)]
+                if exact:
+                    new = [(-int(s), int(i)) for s, i in zip(scores[n, at], ids[at], strict=True)]
+                else:
+                    v = [int(x) for x in a[n]]
+                    new = [(-sum(x * int(y) for x, y in zip(v, points[j], strict=True)), int(ids[j])) for j in at]
+                best = sorted(self.found[q] + new)[: self.k]
+                self.found[q] = best
+                if len(best) == self.k:
+                    kth = float(-best[-1][0])
+                    self.least[q] = max(self.least[q], kth - slack)
+
+    def search(self, points: np.ndarray, uid: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> None:
+        """Offers all of ``points`` but those that no query below a node can need."""
+        if self.tree is None or not len(points):
             return
-        some = np.flatnonzero(fits[better].any(0))
-        queries, scores, rows = queries[better], scores[np.ix_(better, some)], rows[some]
-        score = np.concatenate([self.score[queries], scores], 1)
-        row = np.concatenate([self.row[queries], np.broadcast_to(rows, scores.shape)], 1)
-        order = np.lexsort((np.where(row >= 0, ids[row], np.iinfo(np.int64).max), -score), axis=1)[:, : self.k]
-        at = np.arange(len(queries))[:, None]
-        self.row[queries] = np.where(score[at, order] == -np.inf, -1, row[at, order])
-        self.score[queries] = score[at, order]
-
-
-def dual_search(
-    queries: np.ndarray, query_uid: np.ndarray, points: np.ndarray, ids: np.ndarray, uid: np.ndarray, k: int = K
-) -> Best:
-    """Exact top k of ``points`` for each of ``queries``, without the query's own row. Integer-valued float64."""
-    best = Best(len(queries), k)
-    if not len(queries) or not len(points):
-        return best
-    stack = [(np.inf, cover_tree(queries, QUERY_LEAF), cover_tree(points))]
-    while stack:
-        bound, q, p = stack.pop()
-        if bound < best.worst(q.rows):
-            continue
-        if not q.children and not p.children:
-            scores = queries[q.rows] @ points[p.rows].T
-            own = query_uid[q.rows][:, None] == uid[p.rows][None]
-            best.offer(q.rows, np.where(own, -np.inf, scores), p.rows, ids)
-            continue
-        # The side with the larger radius is opened; the most promising pair is visited first.
-        pairs = [(c, p) for c in q.children] if q.children and (not p.children or q.radius > p.radius) else [(q, c) for c in p.children]
-        stack += sorted(((_bound(a, b), a, b) for a, b in pairs), key=lambda x: x[0])
-    return best
+        stack = [(np.inf, self.tree, cover_tree(points, leaf))]
+        while stack:
+            bound, q, p = stack.pop()
+            if bound < self.worst(q.rows):
+                continue
+            if not q.children and not p.children:
+                self.offer(q.rows, points[p.rows], uid[p.rows], ids[p.rows])
+                continue
+            # The side with the larger radius is opened; the most promising pair is visited first.
+            pairs = [(c, p) for c in q.children] if q.children and (not p.children or q.radius > p.radius) else [(q, c) for c in p.children]
+            stack += sorted(((_bound(a, b), a, b) for a, b in pairs), key=lambda x: x[0])
 
 
 def _bound(q: Node, p: Node) -> float:
-    b = float(q.centre @ p.centre) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
-    return b + 1e-9 * (abs(b) + (q.norm + q.radius) * (p.norm + p.radius))
-
-
-def _plain_search(queries: list, query_uid: np.ndarray, points: list, ids: np.ndarray, uid: np.ndarray, k: int) -> Best:
-    """The same in Python's integers, for components whose products float64 can't add exactly."""
-    best = Best(len(queries), k)
-    best.score = np.full((len(queries), k), -np.inf, object)
-    for i, q in enumerate(queries):
-        found = [(-sum(map(int.__mul__, q, p)), ids[j], j) for j, p in enumerate(points) if uid[j] != query_uid[i]]
-        for n, (score, _, j) in enumerate(sorted(found)[:k]):
-            best.score[i, n], best.row[i, n] = -score, j
-    return best
-
-
-def _unit(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = []
-    for size, some in queries.groupby(queries["v"].str.len()):
-        others = points[points["v"].str.len() == size]
-        if others.empty:
-            continue
-        a = np.array(some["v"].tolist(), np.float64).reshape(len(some), size)
-        b = np.array(others["v"].tolist(), np.float64).reshape(len(others), size)
-        exact = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(size, 1) < 2**53
-        ids, uid, own = others["id"].to_numpy(), others["uid"].to_numpy(), some["uid"].to_numpy()
-        if exact:
-            best = dual_search(a, own, b, ids, uid, k)
-        else:
-            ints = lambda m: [[int(x) for x in r] for r in m]
-            best = _plain_search(ints(a), own, ints(b), ids, uid, k)
-        q, n = np.nonzero(best.row >= 0)
-        row = best.row[q, n]
-        out.append(
-            pd.DataFrame(
-                {"query_uid": own[q], "query_id": some["id"].to_numpy()[q], "vec_id": ids[row], "score": best.score[q, n].astype(np.int64)}
-            )
-        )
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_uid", "query_id", "vec_id", "score")})
-
-
-def scaled(vector: Column, scale: int = SCALE) -> Column:
-    """``array<double>`` of floor(scale * x), or null where the vector takes no part."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        b = float(q.centre @ p.centre) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
+        b += 1e-9 * (abs(b) + (q.norm + q.radius) * (p.norm + p.radius))
+    return np.inf if np.isnan(b) else b
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part: not null, and no component null or not finite."""
     x = vector.cast("array<double>")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(~bad, F.transform(x, lambda v: F.floor(v * scale).cast("double")))
+    return x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+
+
+def _matrix(column: pa.Array, size: int, scale: int) -> np.ndarray:
+    """Scaled and floored float64 of vectors that have one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.floor(flat * scale).reshape(len(column), size)
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    sizes = np.array(batch.column("v").value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    for size in np.unique(sizes):
+        yield int(size), batch.filter(pa.array(sizes == size))
+
+
+def _centres(rows: DataFrame, total: int, cell_rows: int, cells: int) -> dict[int, np.ndarray]:
+    """Centres by length, from a sample of ``cells`` rows on average."""
+    many = min(cells, -(-total // cell_rows))
+    some = rows.where(common.lowest(F.xxhash64("id", "v"), many / max(1, total))).groupBy("v").agg(F.min("id").alias("id"))
+    held = some.orderBy("id").limit(2 * cells).select("v").toArrow().column("v").combine_chunks()
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    batch = pa.RecordBatch.from_arrays([held], names=["v"])
+    return {size: _matrix(part.column("v"), size, 1) for size, part in _by_size(batch)} if len(held) else {}
+
+
+def _assigned(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with ``size``, ``cell`` (the nearest centre of that length) and ``turn``, a count that spreads cells."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+    schema = f"id long, v {dict(rows.dtypes)['v']}, asks boolean, size int, cell int, turn int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            for size, part in _by_size(batch):
+                mine = shared.value.get(size)
+                cell = np.zeros(part.num_rows, np.int32)
+                if mine is not None and size:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        squares = np.einsum("ij,ij->i", mine, mine)
+                        for at in range(0, part.num_rows, 1024):
+                            x = _matrix(part.column("v").slice(at, 1024), size, 1)
+                            cell[at : at + 1024] = (squares - 2 * (x @ mine.T)).argmin(1)
+                spread = (np.arange(turn, turn + part.num_rows) * 40_503 % 65_536).astype(np.int32)
+                turn += part.num_rows
+                columns = [*part.columns, pa.array(np.full(part.num_rows, size, np.int32)), pa.array(cell), pa.array(spread)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "asks", "size", "cell", "turn"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Neighbouring rows of one length and cell, ``most`` at most."""
+    held: list[pa.RecordBatch] = []
+    last, count = None, 0
+    for batch in batches:
+        size, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "cell"))
+        borders = np.flatnonzero((size[1:] != size[:-1]) | (cell[1:] != cell[:-1])) + 1
+        for a, b in zip([0, *borders], [*borders, batch.num_rows], strict=True):
+            while a < b:
+                key = (size[a], cell[a])
+                if held and (key != last or count >= most):
+                    yield pa.Table.from_batches(held)
+                    held, count = [], 0
+                n = min(b - a, most - count)
+                held.append(batch.slice(a, n))
+                last, count, a = key, count + n, a + n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
+def _points(table: pa.Table, scale: int) -> np.ndarray:
+    size = int(table.column("size")[0].as_py())
+    return np.concatenate([_matrix(chunk, size, scale) for chunk in table.column("v").chunks])
+
+
+def _with_bounds(points: DataFrame, k: int, scale: int, most: int) -> DataFrame:
+    """The queries ``id, uid, size, v`` and ``least``, the kth best score among the rows beside them (null: too few)."""
+    schema = f"id long, uid long, size int, v {dict(points.dtypes)['v']}, least double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, most):
+            asks = np.flatnonzero(table.column("asks").to_numpy())
+            if not len(asks):
+                continue
+            at, uid, ids = _points(table, scale), _numbers(table, "uid"), _numbers(table, "id")
+            queries = Queries(at[asks], uid[asks], np.full(len(asks), -np.inf), k)
+            queries.offer(np.arange(len(asks)), at, uid, ids)
+            mine = table.take(pa.array(asks)).select(["id", "uid", "size", "v"])
+            least = pa.array([x if x > -np.inf else None for x in queries.least], pa.float64())
+            yield from mine.append_column("least", least).combine_chunks().to_batches()
+
+    return points.mapInArrow(run, schema)
+
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[pa.Table]:
+    """The rows of a stored table in parts of at most ``most`` (its files hold no more): whole files together."""
+    spark = queries.sparkSession
+    counts = queries.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()
+    held, count = [], 0
+    for r in counts:
+        if held and count + r["n"] > most:
+            yield spark.read.schema(queries.schema).parquet(*held).toArrow()
+            held, count = [], 0
+        held.append(r["file"])
+        count += r["n"]
+    if held:
+        yield spark.read.schema(queries.schema).parquet(*held).toArrow()
+
+
+def _found(points: DataFrame, block: pa.Table, k: int, scale: int, most: int) -> DataFrame:
+    """``query_uid, query_id, vec_id, score``: the best of each task for the queries of the block."""
+    sides = {}
+    for batch in block.combine_chunks().to_batches():
+        for size, part in _by_size(batch):
+            least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            sides.setdefault(size, []).append((_matrix(part.column("v"), size, scale), _numbers(part, "uid"), _numbers(part, "id"), np.nan_to_num(least, nan=-np.inf)))
+    shared = points.sparkSession.sparkContext.broadcast({size: tuple(map(np.concatenate, zip(*parts, strict=True))) for size, parts in sides.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, Queries] = {}
+        for table in _runs(batches, most):
+            size = int(table.column("size")[0].as_py())
+            if size not in shared.value:
+                continue
+            if size not in queries:
+                at, uid, _, least = shared.value[size]
+                queries[size] = Queries(at, uid, least, k)
+            queries[size].search(_points(table, scale), _numbers(table, "uid"), _numbers(table, "id"))
+        for size, side in queries.items():
+            _, uid, ids, _ = shared.value[size]
+            out = [(uid[n], ids[n], i, max(-(2**63), min(2**63 - 1, -s))) for n, best in enumerate(side.found) for s, i in best]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_uid", "query_id", "vec_id", "score"])
+
+    return points.mapInArrow(run, "query_uid long, query_id long, vec_id long, score long")
 
 
 def search(
@@ -179,25 +310,24 @@ def search(
     vector_col: str = "embedding",
     k: int = K,
     scale: int = SCALE,
+    cell_rows: int = CELL_ROWS,
+    cells: int = CELLS,
+    run: int = RUN,
     block: int = BLOCK,
-    group: int = GROUP,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for the rows where ``is_query`` holds, the k best of all other rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
-    rows = rows.where("v is not null and id is not null").withColumn("uid", F.monotonically_increasing_id())
-    rows = common.materialise(rows, "vectors")
-    counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("asks"), 1)).alias("queries")).first()
-    blocks, groups = -(-counts["rows"] // block) or 1, -(-counts["queries"] // group) or 1
-    shuffled = F.xxhash64("uid")
-    points = rows.withColumn("block", F.pmod(shuffled, F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = rows.where("asks").withColumn("group", F.pmod(shuffled, F.lit(groups)))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def unit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _unit(a, b, k)
-
+    spark = vectors.sparkSession
+    asks = F.coalesce(is_query, F.lit(False)).alias("asks")
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), asks)
+    rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
+    total = rows.count()
+    dealt = _assigned(rows, _centres(rows, total, cell_rows, cells)).repartitionByRange("size", "cell", "turn")
+    dealt = dealt.sortWithinPartitions("size", "cell").drop("turn").withColumn("uid", F.monotonically_increasing_id())
+    points = common.materialise(dealt, "vectors")
+    queries = common.materialise(_with_bounds(points, k, scale, run), "queries", rows_per_file=block)
+    parts = [common.materialise(_found(points, part, k, scale, run), "found") for part in _blocks(queries, block)]
     schema = "query_uid long, query_id long, vec_id long, score long"
-    keyed = lambda df: df.select(F.col("group").cast("long"), F.col("block").cast("long"), "id", "uid", "v").groupBy("group", "block")
-    found = keyed(queries).cogroup(keyed(points)).applyInPandas(unit, schema)
+    found = spark.read.schema(schema).parquet(*(f for p in parts for f in p.inputFiles())) if any(p.inputFiles() for p in parts) else spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
