@@ -52,8 +52,8 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to those of the tokenizers library's file.
 
-    A blank before a sign that isn't white space always starts a token, so a text is cut there and the segments'
-    ids come from a bounded cache. Strings of special tokens are ordinary text.
+    A text is split at the file's added tokens, which keep their ids. Elsewhere a blank before a sign that isn't white
+    space always starts a token, so the text is cut there and the segments' ids come from a bounded cache.
     """
 
     CUT = re.compile(r" (?=\S)")
@@ -65,26 +65,37 @@ class Encoder:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         in_order = [vocab[a + b] for a, b in pairs]
+        added = spec["added_tokens"]
         plain = not spec["normalizer"] and spec["pre_tokenizer"]["type"] == "ByteLevel"
+        plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] for t in added)
         if plain and in_order == sorted(in_order) and not spec["pre_tokenizer"]["add_prefix_space"]:
             import tiktoken
 
-            letters, special = _byte_letters(), {t["content"] for t in spec["added_tokens"]}
-            ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
+            letters = _byte_letters()
+            self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+            ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.added}
             self._ids = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
             self.cut = self.CUT.split
         else:  # another kind of tokenizer: no cuts, and the library itself
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(path)
-            library.encode_special_tokens = True
+            self.added = {}
             self._ids = lambda text: library.encode(text, add_special_tokens=False).ids
             self.cut = lambda text: [text]
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(longest) + ")").split if longest else lambda text: [text]
 
     def _encoded(self, segment: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self._ids(segment))
 
     def __call__(self, text: str) -> bytes:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self._ordinary(text)
+        return b"".join(self.added[p] if n % 2 else self._ordinary(p) if p else b"" for n, p in enumerate(parts))
+
+    def _ordinary(self, text: str) -> bytes:
         first, *rest = self.cut(text)
         out, cache = [self._encoded(first)], self.cache
         for s in rest:
@@ -197,5 +208,6 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         (F.col("sequence") + F.col("at") - F.col("first")).alias("base"),
         "offset",
     )
-    placed = parts.join(cut, ["task", "length"]).where((F.col("nth") >= F.col("from")) & (F.col("nth") < F.col("to")))
+    # A row for each task and length: it grows with the input, so it is never broadcast.
+    placed = parts.join(cut.hint("merge"), ["task", "length"]).where((F.col("nth") >= F.col("from")) & (F.col("nth") < F.col("to")))
     return placed.withColumn("sequence_id", F.col("base") + F.col("nth")).drop("task", "nth", "from", "to", "base")
