@@ -470,7 +470,7 @@ def glyph(name: str) -> str:
     if len(name) == 1:
         return name
     if re.fullmatch(r"uni(?:[0-9A-F]{4})+", name):
-        return "".join(chr(int(name[i : i + 4], 16)) for i in range(3, len(name), 4))
+        return bytes.fromhex(name[3:]).decode("utf-16-be", "ignore")
     if re.fullmatch(r"u[0-9A-F]{4,6}", name):
         return chr(int(name[1:], 16))
     if name[1:] in ACCENTS and name[0].isascii():
@@ -717,13 +717,14 @@ def extract_title(data: bytes) -> str | None:
     return title if title and title.lower() != "untitled" else None
 
 
-def pages(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """``path, page_num, text`` of ``binaryFile`` rows."""
+def pages(files: DataFrame, path_col: str = "path", content_col: str = "content", words: frozenset[str] = frozenset()) -> DataFrame:
+    """``path, page_num, text`` of ``binaryFile`` rows. ``words``: a dictionary for words cut at a line's end, such as
+    :func:`common_words` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = extract_pages(content.as_py() or b"")
+                found = extract_pages(content.as_py() or b"", words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(found), pa.string()), pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())],
                     ["path", "page_num", "text"],
@@ -738,7 +739,25 @@ def whole_texts(page_rows: DataFrame, key: str = "path") -> DataFrame:
     return page_rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("page_count"))
 
 
+def titles(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """``path, title`` of ``binaryFile`` rows; null where a file has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [extract_title(c.as_py() or b"") for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "title"])
+
+    return files.select(F.col(path_col), F.col(content_col)).mapInArrow(run, "path string, title string")
+
+
 def vocabulary(texts: Iterable[str], least: int = 3) -> frozenset[str]:
     """Words that occur often enough to tell a fragment from a word."""
     seen = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
     return frozenset(w for w, n in seen.items() if n >= least)
+
+
+def common_words(texts: DataFrame, text_col: str = "text", least: int = 3, most: int = 300_000) -> frozenset[str]:
+    """The same for a table: of words that ``least`` texts hold, the ``most`` frequent, which is a bound for the driver."""
+    held = texts.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
+    counted = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return frozenset(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
