@@ -69,6 +69,12 @@ def file_name(url: Column | str, fallback: str = "Untitled PDF") -> Column:
     return F.when(last == "", F.lit(fallback)).otherwise(last)
 
 
+def file_title(path: Column | str, given: Column | None = None, fallback: str = "Untitled PDF") -> Column:
+    """The given title, else the stem of the path's last part, else the fallback."""
+    stem = F.regexp_replace(F.element_at(F.split(F.coalesce(_c(path), F.lit("")), "/"), -1), r"\.[^.]*$", "")
+    return F.coalesce(F.nullif(given, F.lit("")) if given is not None else F.lit(None), F.nullif(stem, F.lit("")), F.lit(fallback))
+
+
 def first_tag(html: Column | str, tag: str) -> Column:
     """What lies between the first ``<tag…>`` and the next ``</tag>``; null if there is none."""
     found = F.regexp_extract(_c(html), rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row__"
@@ -63,6 +63,118 @@ def without_deleted(cells: DataFrame, tombstones: DataFrame) -> DataFrame:
     return cells.join(dead.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti")
 
 
+def applied(archive: dict[str, DataFrame], changes: DataFrame, tombstones: DataFrame, version: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The archive after a peer's ``changes`` and ``tombstones``, and one row ``applied``: rows inserted, cells updated and
+    rows deleted.
+
+    Tables are taken parents first. A row that isn't here is inserted from its cells; of a row that is, each cell that
+    is newer than the local one is set. A tombstone newer than all local changes of its row deletes it and what is
+    its own. What is applied is logged with its own clock and the local ``version``.
+    """
+    out, counts = dict(archive), []
+    for table in sorted(TABLE_ORDER, key=lambda t: (TABLE_ORDER[t], t)):
+        kinds = dict(out[table].dtypes)
+        mine = latest_cells(changes.where(F.col("tbl") == table).where(F.col("col").isin(*kinds)))
+        keyed = out[table].withColumn("row_id", row_key(table))
+        new = mine.join(keyed.select("row_id"), "row_id", "left_anti")
+        inserted = new.groupBy("row_id").agg(*(_value(c, kinds[c]).alias(c) for c in kinds))
+        local = archive["change_log"].where(F.col("tbl") == table)
+        wins = to_apply(local, mine.join(keyed.select("row_id"), "row_id", "left_semi"))
+        sets = wins.groupBy("row_id").agg(*(F.max(F.struct(F.when(F.col("col") == c, F.lit(1)).otherwise(0).alias("set"), F.when(F.col("col") == c, F.col("val")).alias("val"))).alias(f"_{c}") for c in kinds))
+        rows = keyed.join(sets, "row_id", "left")
+        held = [F.when(F.col(f"_{c}.set") == 1, _typed(F.col(f"_{c}.val"), kinds[c])).otherwise(F.col(c)).alias(c) for c in kinds]
+        out[table] = rows.select(*held).unionByName(inserted.select(*kinds))
+        log = [c for c in archive["change_log"].columns if c in mine.columns and c != "db_version"]
+        for part in (new, wins):
+            out["change_log"] = out["change_log"].unionByName(part.select(*log).withColumn("db_version", F.lit(version).cast("long")), allowMissingColumns=True)
+        counts += [inserted.select(F.lit("rows").alias("what")), wins.select(F.lit("cells").alias("what"))]
+    newest = archive["change_log"].groupBy("tbl", "row_id").agg(F.max(clock()).alias("changed_at"))
+    dead = latest_tombstones(tombstones).join(newest, ["tbl", "row_id"], "left").where(F.col("changed_at").isNull() | (F.col("deleted_at") > F.col("changed_at")))
+    for table in TABLE_ORDER:
+        gone = dead.where(F.col("tbl") == table).select("row_id")
+        out[table] = out[table].withColumn("row_id", row_key(table)).join(gone, "row_id", "left_anti").drop("row_id")
+        if table != "entries" and "entry_id" in out[table].columns:
+            owners = dead.where(F.col("tbl") == "entries").select(F.col("row_id").alias("entry_id"))
+            out[table] = out[table].join(owners, "entry_id", "left_anti").select(*archive[table].columns)
+    graves = dead.select("tbl", "row_id", *(F.col(f"deleted_at.{c}").alias(c) for c in CLOCK), F.lit(version).cast("long").alias("db_version"))
+    old = archive["tombstones"].join(graves.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti")
+    out["tombstones"] = old.unionByName(graves, allowMissingColumns=True)
+    counts.append(dead.select(F.lit("tombstones").alias("what")))
+    every = counts[0]
+    for part in counts[1:]:
+        every = every.unionByName(part)
+    return out, every.agg(F.count(F.lit(1)).alias("applied"))
+
+
+def row_key(table: str) -> Column:
+    """The text by which the change log names a row."""
+    return F.concat_ws("|", "entry_id", "tag_id") if table == "entry_tags" else F.col("entry_id") if table == "entry_content" else F.col("id")
+
+
+def _typed(value: Column, kind: str) -> Column:
+    """The log's text as a column's value; what can't be one is null."""
+    if kind == "binary":
+        return F.try_to_binary(value, F.lit("base64"))
+    return value if kind == "string" else value.try_cast(kind)
+
+
+def _value(column: str, kind: str) -> Column:
+    return _typed(F.max(F.when(F.col("col") == column, F.col("val"))), kind)
+
+
+def touched(changes: DataFrame) -> DataFrame:
+    """``doc_id`` of the entries whose index has to be written anew after ``changes``."""
+    return changes.where(F.col("tbl").isin("entries", "entry_content")).select(F.col("row_id").alias("doc_id")).distinct()
+
+
+#: Kinds of values between replicas.
+WIRE = {"bigint": "Integer", "int": "Integer", "double": "Real", "float": "Real", "string": "Text", "binary": "Blob"}
+
+
+def to_wire(value: Column, kind: str) -> Column:
+    """A value as JSON with its kind; bytes in Base64, nulls of kind ``Null``."""
+    held = F.regexp_replace(F.base64(value), r"[\r\n]", "") if kind == "binary" else value
+    spelled = F.to_json(F.struct(F.lit(WIRE[kind]).alias("t"), held.alias("v")))
+    return F.when(value.isNull(), F.lit('{"t":"Null"}')).otherwise(spelled)
+
+
+def from_wire(value: Column, kind: str) -> Column:
+    """The inverse of :func:`to_wire`; a value of another kind, and bad Base64, is null (or empty bytes)."""
+    held = F.get_json_object(value, "$.v")
+    right = F.get_json_object(value, "$.t") == WIRE[kind]
+    if kind == "binary":
+        return F.when(right, F.coalesce(F.try_to_binary(held, F.lit("base64")), F.lit(b"")))
+    return F.when(right, held if kind == "string" else held.try_cast(kind))
+
+
+@dataclass
+class SyncState:
+    """What a replica keeps about itself, as rows ``key, value``."""
+
+    site_id: str
+    db_version: int = 0
+    wall_ms: int = 0
+    counter: int = 0
+
+    @classmethod
+    def loaded(cls, meta: DataFrame, new_site: str) -> SyncState:
+        """From ``meta(key, value)``; what is missing or no number has its default."""
+        held = {r["key"]: r["value"] for r in meta.where(F.col("key").isin("site_id", "db_version", "hlc_wall", "hlc_counter")).collect()}  # four rows
+        number = lambda k: int(held[k]) if (held.get(k) or "").lstrip("-").isdigit() else 0
+        return cls(held.get("site_id") or new_site, number("db_version"), number("hlc_wall"), number("hlc_counter"))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        held = {"site_id": self.site_id, "db_version": self.db_version, "hlc_wall": self.wall_ms, "hlc_counter": self.counter}
+        return spark.createDataFrame([(k, str(v)) for k, v in held.items()], "key string, value string")
+
+    def clock(self) -> HybridClock:
+        return HybridClock(self.site_id, self.wall_ms, self.counter)
+
+    def next_version(self) -> int:
+        self.db_version += 1
+        return self.db_version
+
+
 def to_rows(cells: DataFrame, columns: list[str], key: str = "row_id") -> DataFrame:
     """One row a row id with the given columns; cells of other columns are left out."""
     return cells.groupBy(key).pivot("col", columns).agg(F.max("val"))

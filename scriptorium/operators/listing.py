@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..sources import pdf
+
 MOST_ROWS = 200
 SORT_KEYS = {"title": "title", "updated_at": "updated_at"}
 
@@ -68,6 +71,27 @@ def to_reprocess(rows: DataFrame, version: int) -> DataFrame:
     return rows.where((F.col("content_type") == "pdf") & F.col("pdf_data").isNotNull() & stale)
 
 
+def pdf_requests(files: DataFrame) -> DataFrame:
+    """Requests to save the files ``path, content``: their pages, their text and a title out of the path."""
+    numbered = files.select(F.xxhash64("path").alias("request"), "path", "content")
+    pages = pdf.pages(numbered).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_num", "text"))).alias("pages"))
+    none = F.lit(None).cast("binary")
+    return numbered.join(pages, "path", "left").select(
+        "request", F.lit(None).cast("string").alias("url"), X.file_title("path").alias("title"), F.lit("pdf").alias("content_type"),
+        F.lit("").alias("extracted_text"), none.alias("snapshot_html"), none.alias("readable_html"), F.col("content").alias("pdf_data"),
+        "pages", F.array().cast("array<string>").alias("tags"), F.lit("cli").alias("source"),
+    )
+
+
+def reprocessed(rows: DataFrame, version: int, id_col: str = "id") -> DataFrame:
+    """``rows`` with the text, page count, status and version that reading their ``pdf_data`` again gives."""
+    files = rows.select(F.col(id_col).cast("string").alias("path"), F.col("pdf_data").alias("content"))
+    found = pdf.whole_texts(pdf.pages(files))
+    old = rows.drop("extracted_text", "page_count", "index_status", "index_version").withColumn("path", F.col(id_col).cast("string"))
+    out = old.join(found, "path", "left").withColumns({"extracted_text": F.coalesce("text", F.lit("")), "page_count": F.coalesce("page_count", F.lit(0))})
+    return out.withColumns({"index_status": index_status(F.col("extracted_text"), F.col("page_count")), "index_version": F.lit(version)}).drop("text", "path")
+
+
 def index_status(text: Column, pages: Column | None = None) -> Column:
     """``failed`` where there is no text (and, for a PDF, no page), else ``ok``."""
     empty = F.coalesce(text, F.lit("")) == ""

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import changes as H
+from ..session import scratch
 from ..sources import archive as A
 from ..streaming import changes as SC
 from ..streaming import windows as W
@@ -124,7 +123,7 @@ def prune_tombstones(spark, sf):
     "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 )
 def stream_tumbling(spark, sf):
-    return W.drained(W.tumbling(W.event_stream(spark, sf)), "tumbling_" + uuid.uuid4().hex)
+    return W.drained(W.tumbling(W.event_stream(spark, sf)), "tumbling")
 
 
 @C.query(
@@ -132,7 +131,7 @@ def stream_tumbling(spark, sf):
     "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) - 3600 * k AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(2) r(k) GROUP BY 1, 2",
 )
 def stream_sliding(spark, sf):
-    return W.drained(W.sliding(W.event_stream(spark, sf)), "sliding_" + uuid.uuid4().hex)
+    return W.drained(W.sliding(W.event_stream(spark, sf)), "sliding")
 
 
 @C.query(
@@ -142,14 +141,14 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS end_s, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def stream_session(spark, sf):
-    return W.drained(W.sessions(W.event_stream(spark, sf)), "session_" + uuid.uuid4().hex)
+    return W.drained(W.sessions(W.event_stream(spark, sf)), "session")
 
 
 @C.query("stream_lww", LATEST)
 def stream_lww(spark, sf):
     """The feed followed to its end."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root}/follow-{uuid.uuid4().hex}"
-    query = SC.follow(SC.stream_of_changes(spark, sf), f"{path}/state", f"{path}/checkpoint")
+    path = scratch(spark, "follow")
+    log = SC.stream_of_changes(spark, sf)
+    query = SC.follow(log, f"{path}/state", f"{path}/checkpoint")
     query.awaitTermination()
-    return SC.state(spark, f"{path}/state", query).select(*CELLS)
+    return SC.state(spark, f"{path}/state", query, log.schema).select(*CELLS)
