@@ -106,6 +106,15 @@ def search_phrase(spark, sf):
     return top(S.bm25(text_index(spark, sf), S.parse(PHRASE)))
 
 
+#: The sign at the end keeps the last word from being a prefix.
+TERMS = 'idiot scum loser "'
+
+
+@C.query("search_indexed_terms", bm25_sql(TERMS, every=False))
+def search_indexed_terms(spark, sf):
+    return top(S.bm25(text_index(spark, sf), S.parse(TERMS), every=False))
+
+
 #: The sign at the end keeps the words before it from being prefixes.
 STEMMED = 'idiots thing the"  "'
 
