@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(1)
-def _own_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, with its scheme.
-
-    Only where the setting is absent (tests, a laptop) a temporary folder takes its place.
-    """
-    return qualified(spark, spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme that Spark reads it by, so that other libraries find the same file."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,7 +22,8 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; the folder goes when the application ends."""
+    return scratch(spark, label)
 
 
 def materialise(df: DataFrame, label: str, compression: str | None = None, rows_per_file: int = 0) -> DataFrame:

@@ -1,16 +1,18 @@
 """WARC archives compressed with a Zstandard dictionary, and their reader.
 
 An archive is a Zstandard file: a leading skippable frame (magic 0x184D2A5D) holds the dictionary, then every WARC
-record is a frame of its own, so a record can be read alone given its offset. Each task trains the dictionary on the
-first ``DICT_SAMPLE_BYTES`` of the records that it archives and streams the rest; it holds no more than that.
+record is a frame of its own, so a record can be read alone given its offset. Each archive's dictionary is built from
+its first ``DICT_SAMPLE_BYTES`` of records, which is all that a task holds; of records too few or too small to train on
+(below 16, or about 10 KB) the dictionary is their beginning as it is. A task begins another archive when one has
+``ARCHIVE_BYTES``, so that each can be read back whole.
 
 Records with equal payloads are written once: that with the largest page id is the ``response``, the others are
 ``revisit`` records without a payload that refer to it. Payloads are compared by SHA-256 and length. Pages are numbered
-and written to the shared folder first; only numbers and digests are grouped, and the join that brings the decisions
-back is by row number, so neither a page that a third of the rows share nor a very common host is a hot key.
+and written to the shared folder first; only numbers and digests are grouped and joined, payloads stay in the task that
+reads them: neither a page that a third of the rows share nor a very common host is a hot key.
 
 Files go through pyarrow's file systems (local, HDFS, S3, GCS), under a temporary name until they are whole, and named
-by partition: a task that runs again replaces its file. Spark's ``binaryFile`` source reads them back.
+by partition: a task that runs again replaces its files. Spark's ``binaryFile`` source reads them back.
 
 Defined results: null html is an empty payload; a null url is written as ``about:blank``; a null page id comes before
 all others; of repeated rows (same id and payload) one is the response; an empty table gives no archives and an empty
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
 import struct
 import uuid
@@ -37,6 +40,7 @@ from . import common
 
 DICT_BYTES = 64 << 10
 DICT_SAMPLE_BYTES = 4 << 20
+ARCHIVE_BYTES = 512 << 20
 LEVEL = 3
 SKIPPABLE = 0x184D2A5D  # fixed value: magic number of the frame that holds a dictionary
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -62,17 +66,16 @@ def _record_id(uid: int) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_OID, str(uid)).urn}>"
 
 
-def page_record(
-    uid: int, page_id: int | None, url: str | None, payload: bytes, keeper: tuple[int, int | None] | None, date: str
-) -> bytes:
-    """``keeper``: uid and page id of the response that holds the payload, if this record revisits it."""
+def page_record(uid: int, page_id: int | None, url: str | None, size: int, digest: str, payload: bytes | None, keeper: tuple[int, int | None] | None, date: str) -> bytes:
+    """``size`` and ``digest`` (SHA-1, base32) are the payload's. ``keeper``: uid and page id of the response that holds the
+    payload, if this record revisits it and so has none."""
     uri = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     fields: list[tuple[str, object]] = [
         ("WARC-Type", "revisit" if keeper else "response"),
         ("WARC-Record-ID", _record_id(uid)),
         ("WARC-Date", date),
         ("WARC-Target-URI", uri),
-        ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http;msgtype=response"),
         ("X-Page-Id", "" if page_id is None else page_id),
     ]
@@ -82,8 +85,8 @@ def page_record(
             ("WARC-Refers-To", _record_id(keeper[0])),
             ("X-Refers-To-Page-Id", "" if keeper[1] is None else keeper[1]),
         ]
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-    return _record(fields, http.encode() + (b"" if keeper else payload))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
+    return _record(fields, http.encode() + (payload or b""))
 
 
 class ArchiveWriter:
@@ -92,13 +95,13 @@ class ArchiveWriter:
     def __init__(self, stream, level: int = LEVEL, dict_bytes: int = DICT_BYTES, sample_bytes: int = DICT_SAMPLE_BYTES):
         self.stream, self.level, self.dict_bytes, self.sample_bytes = stream, level, dict_bytes, sample_bytes
         self.waiting: list[bytes] = []
-        self.held = self.records = 0
+        self.held = self.records = self.written = 0
         self.compressor: zstandard.ZstdCompressor | None = None
 
     def add(self, record: bytes) -> None:
         self.records += 1
         if self.compressor:
-            self.stream.write(self.compressor.compress(record))
+            self._put(record)
             return
         self.waiting.append(record)
         self.held += len(record)
@@ -118,11 +121,17 @@ class ArchiveWriter:
             trained = zstandard.ZstdCompressionDict(b"".join(self.waiting)[: max(size, 8)] or b"WARC/1.1", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         raw = trained.as_bytes()
         self.stream.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
+        self.written += len(raw) + 8
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=trained)
         for record in self.waiting:
-            self.stream.write(self.compressor.compress(record))
+            self._put(record)
         self.waiting = []
 
+    def _put(self, record: bytes) -> None:
+        frame = self.compressor.compress(record)
+        self.stream.write(frame)
+        self.written += len(frame)
+
     def close(self) -> None:
         if self.compressor is None and self.waiting:
             self._start()
@@ -168,6 +177,7 @@ def write(
     html_col: str = "html",
     revisit_least: int = 0,
     date: str = WARC_DATE,
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
     """Archives all rows under ``root`` (a URI). Returns the manifest: ``path, records, bytes`` of each archive."""
     root = common.qualified(pages.sparkSession, root)
@@ -190,35 +200,40 @@ def write(
         .where("uid <> keeper.uid")
         .select("uid", F.col("keeper.uid").alias("keeper_uid"), F.col("keeper.page_id").alias("keeper_id"))
     )
-    decided = rows.drop("digest").join(revisits, "uid", "left").select("uid", "page_id", "url", "payload", "keeper_uid", "keeper_id")
+    revisits = common.materialise(revisits, "warc-revisits")
+    # A revisit has no payload, so what is joined is small; responses stay where they are.
+    sha1 = F.sha1("payload")
+    again = common.maybe_among(rows.select("uid", "page_id", "url", F.col("digest.size").alias("size"), sha1.alias("sha1")), F.col("uid"), revisits.select("uid"))
+    none = F.lit(None)
+    again = again.join(revisits, "uid").select("uid", "page_id", "url", "size", "sha1", none.cast("binary").alias("payload"), "keeper_uid", "keeper_id")
+    first = common.without(rows.select("uid", "page_id", "url", F.col("digest.size").alias("size"), sha1.alias("sha1"), "payload"), "uid", revisits.select("uid"))
+    decided = first.withColumns({"keeper_uid": none.cast("long"), "keeper_id": none.cast("long")}).unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, folder = pafs.FileSystem.from_uri(root)
         fs.create_dir(folder, recursive=True)
-        final = f"{folder}/archive-{task.partitionId():06d}.warc.zst"
-        part = f"{folder}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        writer = None
-        with fs.open_output_stream(part) as stream:
-            for batch in batches:
-                for uid, page_id, url, body, keeper_uid, keeper_id in zip(*batch.columns, strict=True):
-                    if writer is None:
-                        writer = ArchiveWriter(stream)
-                        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(-1 - task.partitionId())), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
-                        writer.add(_record(info, b"format: WARC File Format 1.1\r\n"))
-                    keeper = (keeper_uid.as_py(), keeper_id.as_py()) if keeper_uid.is_valid else None
-                    writer.add(page_record(uid.as_py(), page_id.as_py(), url.as_py(), body.as_py(), keeper, date))
-            if writer:
+        records_ = (r for batch in batches for r in zip(*batch.columns, strict=True))
+        ahead = next(records_, None)
+        for number in itertools.count():
+            if ahead is None:
+                return
+            name = f"{task.partitionId():06d}-{number:04d}"
+            final, part = f"{folder}/archive-{name}.warc.zst", f"{folder}/_part-{name}-{task.taskAttemptId()}"
+            with fs.open_output_stream(part) as stream:
+                writer = ArchiveWriter(stream, sample_bytes=min(DICT_SAMPLE_BYTES, archive_bytes))
+                info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(-1 - (task.partitionId() << 16) - number)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+                writer.add(_record(info, b"format: WARC File Format 1.1\r\n"))
+                while ahead is not None and writer.written < archive_bytes:
+                    uid, page_id, url, size, sha, payload, keeper_uid, keeper_id = (x.as_py() for x in ahead)
+                    digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                    keeper = (keeper_uid, keeper_id) if keeper_uid is not None else None
+                    writer.add(page_record(uid, page_id, url, size, digest, payload, keeper, date))
+                    ahead = next(records_, None)
                 writer.close()
-        if writer is None:
-            fs.delete_file(part)
-            return
-        fs.move(part, final)
-        info = fs.get_file_info(final)
-        yield pa.RecordBatch.from_pylist(
-            [{"path": f"{root}/{os.path.basename(final)}", "records": writer.records, "bytes": info.size}],
-            pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]),
-        )
+            fs.move(part, final)
+            row = {"path": f"{root}/{os.path.basename(final)}", "records": writer.records, "bytes": fs.get_file_info(final).size}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     return common.materialise(decided.mapInArrow(run, _MANIFEST), "warc-manifest")
 

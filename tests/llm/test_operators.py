@@ -196,6 +196,43 @@ def test_toxicity_without_labels_scores_zero(spark):
     assert toxicity.scored(frame(spark, []), none).count() == 0
 
 
+def test_the_bound_keeps_clean_rows_whatever_the_rate_of_toxic_ones():
+    """Toxic words stand in some clean texts too, so the rows set aside have to place the bound."""
+    import pandas as pd
+
+    def rows(count, every, seed):
+        r = random.Random(seed)
+        out = []
+        for i in range(count):
+            toxic = i % every == 0
+            words = prose(seed + i, 50).split()
+            for _ in range(4 if toxic else r.random() < 0.05):
+                words[r.randrange(len(words))] = r.choice(["idiot", "scum", "moron", "trash"])
+            out.append((i, " ".join(words), int(toxic), zlib.crc32(b"%d" % i)))
+        return pd.DataFrame(out, columns=["doc_id", "text", "toxic", "turn"])
+
+    for every in (2, 12):
+        model = next(toxicity.fit_frames([rows(2400, every, 0)], 3))
+        score = model.scorer()
+        test = rows(1200, every, 50_000)
+        flagged = np.array([score(t) >= 0.5 for t in test["text"]])
+        labels = test["toxic"].to_numpy() == 1
+        assert flagged[~labels].mean() < 0.03 and flagged[labels].mean() > 0.97
+
+
+def test_the_sample_of_a_large_table_keeps_its_rate_and_its_bounds(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    seen, fit = [], toxicity.common.materialise
+    toxicity.common.materialise = lambda df, label, *a: (seen.append(fit(df, label, *a)), seen[-1])[1]
+    try:
+        toxicity.train(docs, labels, rows=5000, epochs=1)
+    finally:
+        toxicity.common.materialise = fit
+    n, toxic = seen[0].agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    assert 4500 < n < 5500 and 0.08 < toxic / n < 0.12
+
+
 def test_ftrl_weights_are_sparse():
     texts = [prose(i, 50) + (" scum" if i % 4 == 0 else "") for i in range(400)]
     model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)])
@@ -394,6 +431,36 @@ def test_sentence_pieces_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
 
 
+def test_unigram_models_take_the_path_of_highest_sum(tmp_path):
+    """A model put together by hand, against the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    r = random.Random(4)
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.unk_id = 0
+    model.trainer_spec.bos_id = model.trainer_spec.eos_id = model.trainer_spec.pad_id = -1
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    pieces = ["▁", *"abcd", *{r.choice(["", "▁"]) + "".join(r.choice("abcd") for _ in range(r.randrange(2, 5))) for _ in range(60)}]
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    for p in sorted(set(pieces)):
+        model.pieces.add(piece=p, score=-r.uniform(1, 9) * (3 if len(p) == 1 else 1), type=1)
+    path = f"{tmp_path}/unigram.model"
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(r.choice("abcd  ") for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    codec = sentence_pieces.Codec(path)
+    score = lambda ids: sum(model.pieces[i].score for i in ids)
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        got, want = np.frombuffer(ids, "<u4").tolist(), library.encode(text)
+        # Paths of the same sum: the library's order of adding decides.
+        assert got == want or abs(score(got) - score(want)) < 1e-4 and codec.decode(ids) == library.decode(want), text
+
+
 def test_sentence_pieces_round_trip_every_document(spark):
     got = sentence_pieces.encoded(frame(spark)).collect()
     want = Counter((i, hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()) for i, t in documents())
@@ -542,6 +609,13 @@ def test_warc_frames_start_with_a_dictionary_and_stand_alone():
     assert blocks[0] in first
 
 
+def test_a_task_begins_another_archive_when_one_is_full(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", prose(i, 400)) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages, f"file://{tmp_path}/out", archive_bytes=20_000).collect()
+    assert len(manifest) > 3 and sum(r["records"] for r in manifest) == 300 + len(manifest)
+    assert sorted(r["page_id"] for r in warc.read(spark, f"file://{tmp_path}/out").collect()) == list(range(300))
+
+
 def test_no_pages_no_archives(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write(empty, f"file://{tmp_path}/none").count() == 0
@@ -715,6 +789,19 @@ def test_url_scores_equal_a_plain_model(spark):
         assert got[t] == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize(("names", "make"), [
+    (("row", "bits", "place", "word", "digest"), lambda d: exact_dedup.deduplicated(d)),
+    (("row", "root", "fp", "number"), lambda d: simhash.deduplicated(d)),
+    (("base", "rest", "_base", "_tokens"), lambda d: secret_scan.scanned(d)),
+    (("edits", "digest_", "row", "bits"), lambda d: pii.pseudonymised(d, b"k")),
+    (("symbols", "fits", "_rule"), lambda d: url_filter.judged(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}))),
+])
+def test_columns_of_any_name_pass_through(spark, names, make):
+    extra = frame(spark, documents()[:12]).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    rows = make(extra).collect()
+    assert rows and all(r[n] == f"{n}{r['doc_id'] if 'doc_id' in r else r['page_id']}" for r in rows for n in names)
+
+
 @pytest.mark.parametrize("make", [
     lambda d: exact_dedup.exact_duplicates(d),
     lambda d: simhash.near_duplicates(d),
