@@ -53,7 +53,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentence_pieces.encoded(docs, with_ids=False)
+    return sentence_pieces.encoded(docs, with_ids=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ Only distinct fingerprints are hashed. A key shared by few of them has its pairs
 ``BUCKET`` of them holds a dense group; there each fingerprint is also listed under itself and each of its single-bit
 changes, and those that share an entry are linked to the least of it: two fingerprints with a common neighbour at one
 bit differ in at most two, and two that differ in at most two have a common neighbour. So links in dense groups cost
-65 entries a fingerprint, not a square, and none is lost. Other radii extend the entries accordingly.
+65 entries a fingerprint, not a square, and none is lost. Other even radii list all changes of half as many bits;
+odd ones are refused.
 
 Defined results: A-Z is lower-cased and nothing else; words are split at ASCII white space; fewer words than a shingle
 has give one shingle, no words give fingerprint zero, which links like any other; a null text counts as empty;
@@ -96,11 +97,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     pairs = few.join(other, ["t", "key"]).where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius))
     pairs = pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
+    if radius % 2:
+        raise ValueError("dense groups are linked exactly for even radii only")
     # Dense keys: listed under every fingerprint within half the radius (rounded up), then linked through the least.
     changes = [0] + [sum(1 << i for i in c) for n in range(1, radius // 2 + 1) for c in combinations(range(64), n)]
     dense = shared.where(F.col("n") > bucket).select("fp").distinct()
-    if radius % 2:
-        raise ValueError("dense groups are linked exactly for even radii only")
     entries = dense.select("fp", F.explode(F.array(*(F.lit(_signed(c)) for c in changes))).alias("change"))
     entries = entries.select("fp", F.col("fp").bitwiseXOR(F.col("change")).alias("entry"))
     heads = entries.groupBy("entry").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -136,7 +137,10 @@ def _node(col: str):
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of every component the row with the least id."""
-    numbered = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, id_col, text_col, words, radius, carry=("_row",))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
-    return numbered.join(best.select(F.col("best._row").alias("_row")), "_row", "left_semi").drop("_row")
+    (row,) = common.unused(docs, "row")
+    numbered = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    slim = numbered.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("number"))
+    found = near_duplicates(slim, words=words, radius=radius, carry=("number",))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = found.join(best, "root").where("number <> best.number").select(F.col("number").alias(row))
+    return common.without(numbered, row, common.materialise(gone, "gone")).drop(row)

@@ -172,29 +172,31 @@ def judged(
     ``samples(url, accepted boolean)``: labelled URLs to train on; without it those that a rule decides.
     """
     spark = pages.sparkSession
-    held = pages.drop("host", "path", "rule", "verdict", "score", "symbols")
+    held = pages.drop("host", "path", "rule", "verdict", "score")
+    text, fits = common.unused(held, "symbols", "fits")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rows = held.withColumns({"host": host, "path": path, "symbols": symbols(F.col(url_col))})
-    rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    rows = held.withColumns({"host": host, "path": path, text: symbols(F.col(url_col))})
+    rows = rows.withColumn(fits, matching_rule(F.col("host"), F.col("path"), rules))
+    own = F.col(text).alias("symbols")
     if samples is None:
-        labelled = rows.where("_rule is not null").select("symbols", (F.col("_rule.verdict") == "allow").alias("accepted"))
+        labelled = rows.where(F.col(fits).isNotNull()).select(own, (F.col(fits)["verdict"] == "allow").alias("accepted"))
     else:
         labelled = samples.select(symbols(F.col("url")).alias("symbols"), "accepted")
     labelled = common.materialise(labelled.groupBy("symbols", "accepted").agg(F.count(F.lit(1)).alias("n")), "url-labelled")
     model = common.materialise(train(labelled, order), "url-model")
     both = model.agg(F.sum("accepted"), F.sum("rejected")).first()
     if both[0] and both[1]:
-        texts = rows.select("symbols").union(labelled.select("symbols")).distinct()
+        texts = rows.select(own).union(labelled.select("symbols")).distinct()
         scored = common.materialise(scores(texts, model, order), "url-scores")
         least = threshold(labelled.join(scored, "symbols"))
     else:
         scored, least = spark.createDataFrame([], "symbols string, score double"), 0.0
-    out = rows.join(scored, "symbols", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    out = rows.join(scored.withColumnRenamed("symbols", text), text, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.select(
         *held.columns,
         "host",
         "path",
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"),
+        F.col(fits)["rule"].alias("rule"),
+        F.coalesce(F.col(fits)["verdict"], F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"),
         "score",
     )
