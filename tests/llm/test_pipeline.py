@@ -82,6 +82,48 @@ def test_secrets_are_masked_and_clean_documents_unchanged(spark):
             assert r["n_chars"] == len(r["text"])
 
 
+def labelled(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_take_empty_tables_and_columns_of_any_name(spark, tmp_path):
+    sf = labelled(spark, tmp_path, [(1, 0)])
+    names = ["score", "row", "secret_spans", "bits", "base", "kept", "fp"]
+    rows = [(1, "plain words here"), (2, None), (2, None), (3, ""), (None, "x y z"), (4, "long " * 30_000)]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    full = spark.createDataFrame([(i, t, *names) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, full, sf)
+        assert out.columns == full.columns, name
+        kept = out.collect()
+        assert kept and all(tuple(r[n] for n in names) == tuple(names) for r in kept)
+        assert {r["doc_id"] for r in kept} >= {1, 4}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, full.where("false"), sf).count() == 0
+
+
+def test_toxic_rows_without_labels_nulls_and_long_texts(spark, tmp_path):
+    sf = labelled(spark, tmp_path, [(7, None)])
+    docs = table(spark, [(1, None), (1, None), (2, ""), (3, "idiot " * 20_000)])
+    assert corpus_pipeline.reject_toxic(spark, docs, sf).count() == 4  # nothing to learn from: all stay
+
+
+def test_packed_documents_hold_every_id_once(spark):
+    from scriptorium.llm import packing
+
+    rows = [(i, prose(i, 40 * i)) for i in range(60)] + [(100, None), (101, ""), (102, "y " * 9000)]
+    got = corpus_pipeline.pack(spark, table(spark, rows), "").collect()
+    encode = packing.Encoder(packing.default_tokenizer())
+    sizes = {i: len(encode(t or "")) // 4 + 1 for i, t in rows}
+    assert {i: sum(r["length"] for r in got if r["doc_id"] == i) for i in sizes} == sizes
+    used = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert used.get(r["sequence_id"], 0) == r["offset"]
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= 2048 and sorted(used) == list(range(len(used)))
+
+
 def test_the_pipeline_runs_whole(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
