@@ -1,13 +1,15 @@
 """Secret scan: three patterns, and a ratio of two character Markov models for what they miss.
 
-One first-order Markov model is trained on random strings, the other on ordinary identifiers. A token of the text is a
+One first-order Markov model is trained on random strings, the other on ordinary identifiers, which are made of every
+word of the whole corpus, as often as it occurs. A token of the text is a
 secret if the sum over its character pairs of log P(b | a, random) - log P(b | a, ordinary) exceeds a bound: the
 log of ``ODDS``, or what all but ``FALSE`` of the ordinary samples stay below if that is more. Tokens are runs of
 ``SHORTEST`` or more letters, digits and ``+/_=-`` that touch no other letter. Not scored, because they are no strings
 of mixed characters, are words of one case (a first capital aside), numbers with their separators, and UUIDs.
 
 Everything is a DataFrame expression: patterns run as Java regular expressions inside the scan, spans are found with
-array functions, and no row is shuffled. The model is one array of ``SYMBOLS ** 2`` doubles.
+array functions, and no text is shuffled, only words with their counts. The model is one array of ``SYMBOLS ** 2``
+doubles.
 
 Positions count code points; ends are exclusive. Of each kind the matches are leftmost and do not overlap; spans of
 kind ``markov`` are added for tokens. Tokens are looked for after the patterns' spans have been blanked, one pattern
@@ -45,8 +47,8 @@ TOKEN = rf"(?<![\p{{L}}{_RUN}])(?!{_PLAIN})[{_RUN}]{{{SHORTEST},}}+(?!\p{{L}})"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET)
 SAMPLE_ROWS = 20_000
-#: Rows of the corpus that give ordinary samples, on average, and word pairs from each.
-SAMPLE_DOCS, PAIRS = 1_000, 4
+#: Pairs of ``IDENTIFIERS`` among the ordinary samples; the weight of all ordinary samples together, at most.
+OWN_PAIRS, ORDINARY = 4_000, 64_000
 #: Words of identifiers; the corpus adds its own.
 IDENTIFIERS = (
     "account action address apply array async auth base batch block body buffer build button byte cache call case chain "
@@ -145,29 +147,28 @@ def random_samples(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
         .when(shape == 3, F.regexp_replace(b64, "[+/=]", ""))
         .otherwise(b64)
     )
-    return spark.range(rows).select(token.alias("token"), F.lit(True).alias("random"))
+    return spark.range(rows).select(token.alias("token"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("times"))
 
 
-def ordinary_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_DOCS) -> DataFrame:
-    """``token, random``: identifiers made of neighbouring words, of ``IDENTIFIERS`` and of the corpus.
+def ordinary_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``token, random, times``: identifiers made of two words, and how often they count.
 
-    The corpus gives word pairs from places spread over the whole texts of ``rows`` rows on average, those with the
-    least hashes; equal texts count once.
+    Every word of every whole text is joined with one of ``IDENTIFIERS``, in the order and form that its hash has, and
+    counts as often as it occurs. ``OWN_PAIRS`` pairs of ``IDENTIFIERS``, in all forms, count as much as all of these.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    share = min(1.0, rows / max(1, docs.count()))
-    turn = F.xxhash64("text").alias("turn")
-    some = docs.select(text.alias("text")).select("text", turn).where(common.lowest(F.col("turn"), share))
-    words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) >= 2)
-    place = lambda i: F.floor((F.size("words") - 1) * i / PAIRS).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(PAIRS - 1)), lambda i: F.array(F.get("words", place(i)), F.get("words", place(i) + 1)))
-    found = some.select("turn", words.alias("words")).where(F.size("words") >= 2).select("turn", spread.alias("pairs"))
-    corpus = found.groupBy("turn").agg(F.min("pairs").alias("pairs")).select(F.explode("pairs").alias("pair"))
+    word = F.explode(F.split(text, r"[^A-Za-z]+")).alias("word")
+    cut = docs.select(word).where(F.length("word") >= 2).select(F.substring("word", 1, 16).alias("word"))
+    words = common.materialise(cut.groupBy("word").agg(F.count(F.lit(1)).alias("times")), "words")
     known = F.array(*map(F.lit, IDENTIFIERS))
-    pick = lambda salt: F.get(known, F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(len(IDENTIFIERS))).cast("int"))
-    own = spark.range(SAMPLE_DOCS * PAIRS).select(F.array(pick("a"), pick("b")).alias("pair"))
-    a, b = (F.substring(F.get("pair", F.lit(i)), 1, 16) for i in (0, 1))
+    pick = lambda salt, of: F.get(known, F.pmod(F.xxhash64(F.lit(salt), F.col(of)), F.lit(len(IDENTIFIERS))).cast("int"))
+    form = F.pmod(F.xxhash64("word", F.lit("form")), F.lit(8)).cast("int")
+    first = (form < 2) | (F.pmod(F.xxhash64("word", F.lit("order")), F.lit(2)) == 0)  # two forms have no second word
+    joined = F.when(first, F.array(F.col("word"), pick("b", "word"))).otherwise(F.array(pick("a", "word"), F.col("word")))
+    total = words.agg(F.sum("times").alias("n")).first()["n"] or 0
+    own = spark.range(OWN_PAIRS).select(F.array(pick("a", "id"), pick("b", "id")).alias("pair"), F.lit(max(1, total // (8 * OWN_PAIRS))).cast("long").alias("times"))
+    a, b = (F.get("pair", F.lit(i)) for i in (0, 1))
     n = F.pmod(F.xxhash64("pair"), F.lit(2048)).cast("string")
     made = F.array(
         a,
@@ -179,25 +180,30 @@ def ordinary_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE
         F.concat_ws("-", a, b, F.lit("2024-01-15")),
         F.concat_ws("/", a, b),
     )
-    return corpus.union(own).select(F.explode(made).alias("token"), F.lit(False).alias("random"))
+    held = words.select(joined.alias("pair"), "times", form.alias("form")).select(F.get(made, F.col("form")).alias("token"), "times")
+    tokens = held.union(own.select(F.explode(made).alias("token"), "times"))
+    return tokens.select("token", F.lit(False).alias("random"), "times")
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log ratios of the transitions, ``ALPHABET`` squared, from ``samples(token, random boolean)``; add-one smoothed.
+    """Log ratios of the transitions, ``ALPHABET`` squared, from ``samples(token, random boolean, times long)``.
 
-    What reaches the driver is bounded by the alphabet: a count for each pair of characters and label.
+    Ordinary counts are scaled to ``ORDINARY`` samples if there are more, so that adding one smooths alike for corpora
+    of any size. What reaches the driver is bounded by the alphabet: a count for each pair of characters and label.
     """
+    total = samples.where(~F.col("random")).agg(F.sum("times").alias("n")).first()["n"] or 0
+    weight = {True: 1.0, False: min(1.0, ORDINARY / max(1, total))}
     pairs = (
         samples.where(F.length("token") >= 2)
-        .select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
+        .select("random", "token", "times", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
         .groupBy("random", F.substring("token", F.col("i"), F.lit(2)).alias("pair"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("times").alias("n"))
         .where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$"))
         .collect()
     )
     counts = {flag: [[1] * SYMBOLS for _ in ALPHABET] for flag in (True, False)}
     for r in pairs:
-        counts[r["random"]][ALPHABET.index(r["pair"][0])][ALPHABET.index(r["pair"][1])] += r["n"]
+        counts[r["random"]][ALPHABET.index(r["pair"][0])][ALPHABET.index(r["pair"][1])] += r["n"] * weight[r["random"]]
     out = []
     for a in range(SYMBOLS):
         totals = {flag: sum(counts[flag][a]) for flag in counts}
@@ -220,9 +226,13 @@ def ratio(token: Column, ratios: list[float]) -> Column:
 
 
 def threshold(samples: DataFrame, ratios: list[float]) -> float:
-    """The log of ``ODDS``, or what a share ``FALSE`` of the ordinary samples that are tokens exceeds, if that is more."""
+    """The log of ``ODDS``, or what a share ``FALSE`` of the ordinary samples that are tokens exceeds, if that is more.
+
+    Ratios are rounded up to hundredths and counted, so that few numbers, whatever the corpus, make the percentile.
+    """
     tokens = samples.where(~F.col("random") & F.col("token").rlike(rf"^{TOKEN}$"))
-    x = tokens.select(ratio(F.col("token"), ratios).alias("x")).agg(F.percentile("x", F.lit(1 - FALSE)).alias("x")).first()["x"]
+    counted = tokens.groupBy((F.ceil(ratio(F.col("token"), ratios) * 100) / 100).alias("x")).agg(F.sum("times").alias("n"))
+    x = counted.agg(F.percentile("x", F.lit(1 - FALSE), F.col("n")).alias("x")).first()["x"]
     return max(math.log(ODDS), x if x is not None else 0.0)
 
 
@@ -235,7 +245,8 @@ def scanned(
     """``docs`` with ``secret_spans``, an ``array<struct<start, kind, end>>`` by start, then kind (index in KINDS)."""
     if samples is None:
         samples = random_samples(docs.sparkSession, sample_rows).union(ordinary_samples(docs, text_col))
-    samples = common.materialise(samples, "secret-samples")
+    else:
+        samples = common.materialise(samples, "secret-samples")
     ratios = train(samples)
     limit = threshold(samples, ratios)
     base, rest = common.unused(docs, "base", "rest")

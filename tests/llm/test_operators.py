@@ -299,6 +299,25 @@ def test_identifiers_stay_clean_and_short_keys_are_found(spark):
     assert [got[950 + i] for i in range(len(KEYS))] == [[(4, 3, 4 + len(w))] for w in KEYS]
 
 
+def test_ordinary_samples_hold_every_word_of_every_text(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    rows = [(i, "some words of each row " * 5 + f"own{letters(i)} again{letters(i % 7)}") for i in range(1500)]
+    got = {}
+    for r in secret_scan.ordinary_samples(frame(spark, rows)).collect():
+        for word in set(re.findall(r"own[a-j]{5}|again[a-j]{5}", r["token"].lower())):
+            got.setdefault(word, set()).add(r["times"])
+    want = {f"own{letters(i)}": {1} for i in range(1500)}
+    want |= {f"again{letters(k)}": {len(range(k, 1500, 7))} for k in range(7)}
+    assert got == want
+
+
+def test_more_of_the_same_corpus_gives_the_same_model(spark):
+    rows = [(i, prose(i, 300)) for i in range(60)]
+    of = lambda some: secret_scan.train(secret_scan.random_samples(spark, 2000).union(secret_scan.ordinary_samples(frame(spark, some))))
+    once, often = of(rows * 3), of(rows * 12)
+    assert max(abs(a - b) for a, b in zip(once, often, strict=True)) < 0.5
+
+
 def brute_tokens(text, ratios, limit):
     """Tokens of the text without its patterns' spans, in plain Python."""
     rest = list(text)
