@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 from ..session import scratch
 
 
+#: Paths of the scratch tables made in the innermost scope of ``passing``.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +29,10 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share; the folder goes when the application ends."""
-    return scratch(spark, label)
+    path = scratch(spark, label)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, compression: str | None = None, rows_per_file: int = 0) -> DataFrame:
@@ -38,6 +47,32 @@ def materialise(df: DataFrame, label: str, compression: str | None = None, rows_
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Scratch tables made inside are deleted at its end. What it gives stores a table, as ``materialise``, that stays.
+
+    Nothing that is used later may read the others. Scopes nest: what stays belongs to the scope around, if there is one.
+    """
+    own: list[str] = []
+    outer = _scope.get()
+    token = _scope.set(own)
+
+    def store(*args, **options) -> DataFrame:
+        inner = _scope.set(outer)
+        try:
+            return materialise(*args, **options)
+        finally:
+            _scope.reset(inner)
+
+    try:
+        yield store
+    finally:
+        _scope.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

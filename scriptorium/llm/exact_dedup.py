@@ -182,5 +182,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, with all their columns."""
     (row,) = common.unused(docs, "row")
     numbered = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
-    gone = exact_duplicates(numbered, id_col, text_col, row).where("not kept").select(F.col("uid").alias(row))
-    return common.without(numbered, row, common.materialise(gone, "gone")).drop(row)
+    with common.passing(docs.sparkSession) as store:
+        gone = exact_duplicates(numbered, id_col, text_col, row).where("not kept").select(F.col("uid").alias(row))
+        gone = store(gone, "gone")
+    return common.without(numbered, row, gone).drop(row)

@@ -100,6 +100,11 @@ def _checked(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     Texts are dealt into blocks of about ``BLOCK``; a pair of blocks is one group of rows, to which a text goes once
     however many of its pairs are there, and where its shingles are made once.
     """
+    with common.passing(rows.sparkSession) as store:
+        return store(_compared(pairs, rows, words), "links")
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     few = common.materialise(pairs.select("a", "b").where("a <> b").distinct(), "candidates")
     side = lambda df, end, *columns: df.select(*columns, F.col(end).alias("node")).distinct()
     held = common.materialise(side(few, "a").union(side(few, "b")).distinct(), "candidate-nodes")
@@ -115,8 +120,7 @@ def _checked(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
         keep = [linked(sets[a], sets[b]) for a, b in zip(some["a"], some["b"], strict=True)]
         return some.loc[np.array(keep, bool), ["a", "b"]]
 
-    found = placed.groupBy("i", "j").cogroup(texts.groupBy("i", "j")).applyInPandas(run, "a long, b long")
-    return common.materialise(found, "links")
+    return placed.groupBy("i", "j").cogroup(texts.groupBy("i", "j")).applyInPandas(run, "a long, b long")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:
@@ -142,10 +146,12 @@ def by_fingerprint(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Edges ``a, b`` between the nodes of ``rows(node, _text)``: enough to connect every two that link, and no others."""
-    near = by_fingerprint(rows, words)
-    keys = common.materialise(_keys(rows, words, _frequent(rows, words)), "prefixes", "zstd")
-    several = common.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
-    shared = common.materialise(common.maybe_among(keys, F.col("key"), several), "shared", "zstd")
+    with common.passing(rows.sparkSession) as store:
+        near = store(by_fingerprint(rows, words), "near")
+    with common.passing(rows.sparkSession) as store:
+        keys = common.materialise(_keys(rows, words, _frequent(rows, words)), "prefixes", "zstd")
+        several = common.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+        shared = store(common.maybe_among(keys, F.col("key"), several), "shared", "zstd")
     side = lambda end: [F.col(c).alias(c if c == "node" else f"{c}_{end}") for c in ("node", "at", "size")]
     head = [F.col("head.node").alias("a"), F.col("head.at").alias("at_a"), F.col("head.size").alias("size_a")]
     held = _mixed(shared, components(near), "shared-prefixes")
@@ -197,9 +203,10 @@ def _across(held: DataFrame) -> DataFrame:
 
 def _mixed(held: DataFrame, found: DataFrame, label: str) -> DataFrame:
     """``held(key, node, at, size)`` with ``root``, of the keys whose nodes lie in more than one component."""
-    rooted = common.materialise(held.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return common.materialise(rooted.join(mixed, "key"), label)
+    with common.passing(held.sparkSession) as store:
+        rooted = common.materialise(held.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+        return store(rooted.join(mixed, "key"), label)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -209,8 +216,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Hashed nodes: the order of the contraction must not follow the rows. XXH64 of a long is one-to-one.
     node = F.xxhash64(row).alias("node")
     rows = numbered.select(node, F.col(text_col).cast("string").alias("_text"))
-    found = components(links(rows, words))
-    held = numbered.select(node, F.col(row).alias("row"), F.col(id_col).cast("long").alias("id")).join(found, "node")
-    best = held.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
-    gone = held.join(best, "root").where("row <> best.row").select(F.col("row").alias(row))
-    return common.without(numbered, row, common.materialise(gone, "gone")).drop(row)
+    with common.passing(docs.sparkSession) as store:
+        found = components(links(rows, words))
+        held = numbered.select(node, F.col(row).alias("row"), F.col(id_col).cast("long").alias("id")).join(found, "node")
+        best = held.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+        gone = store(held.join(best, "root").where("row <> best.row").select(F.col("row").alias(row)), "gone")
+    return common.without(numbered, row, gone).drop(row)

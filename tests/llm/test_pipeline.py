@@ -70,6 +70,20 @@ def test_near_copies_are_all_pairs_alike_by_four_fifths_of_their_shingles(spark)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
 
 
+def test_stages_leave_only_the_scratch_tables_that_their_results_read(spark):
+    from pathlib import Path
+
+    from scriptorium.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        before = {p.name for p in folder.iterdir()}
+        out = stage(spark, table(spark, documents()), "")
+        left = {p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before}
+        assert left == {"numbered", "gone", "filter"}
+        assert out.count() > 0
+
+
 def test_secrets_are_masked_and_clean_documents_unchanged(spark):
     rows = documents()
     out = corpus_pipeline.mask_secrets(spark, table(spark, rows), "").collect()
