@@ -47,6 +47,33 @@ def materialise(df: DataFrame, label: str, compression: str | None = None, rows_
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a column ``row``, a number that is each row's own and the same whenever the table is read.
+
+    Rows of Parquet files are numbered by their file and their place in it, which no split of the work changes. Any
+    other input is copied once to the shared folder, because it might give its rows in another order the next time.
+    """
+    if not _stored(docs):
+        return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    path, at, nth = unused(docs.withColumn(row, F.lit(0)), "path", "at", "nth")
+    place = docs.metadataColumn("_metadata")
+    placed = docs.select("*", place.getField("file_path").alias(path), place.getField("row_index").alias(at))
+    names = sorted(r[0] for r in placed.select(path).distinct().collect())  # files, of which the driver has a list anyway
+    files = docs.sparkSession.createDataFrame([(name, n << 40) for n, name in enumerate(names)], f"`{path}` string, `{nth}` long")
+    return placed.join(F.broadcast(files), path).withColumn(row, F.col(nth) + F.col(at)).drop(path, at, nth)
+
+
+def _stored(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of Parquet files under one path as it was read (a file named twice is read twice)."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.isStreaming():
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return False
+    return relation.location().rootPaths().size() == 1
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Scratch tables made inside are deleted at its end. What it gives stores a table, as ``materialise``, that stays.

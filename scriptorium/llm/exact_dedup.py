@@ -181,7 +181,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     (row,) = common.unused(docs, "row")
-    numbered = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    numbered = common.numbered(docs, row)
     with common.passing(docs.sparkSession) as store:
         gone = exact_duplicates(numbered, id_col, text_col, row).where("not kept").select(F.col("uid").alias(row))
         gone = store(gone, "gone")

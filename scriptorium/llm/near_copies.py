@@ -212,7 +212,7 @@ def _mixed(held: DataFrame, found: DataFrame, label: str) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of every component the row with the least id."""
     (row,) = common.unused(docs, "row")
-    numbered = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    numbered = common.numbered(docs, row)
     # Hashed nodes: the order of the contraction must not follow the rows. XXH64 of a long is one-to-one.
     node = F.xxhash64(row).alias("node")
     rows = numbered.select(node, F.col(text_col).cast("string").alias("_text"))

@@ -84,6 +84,41 @@ def test_stages_leave_only_the_scratch_tables_that_their_results_read(spark):
         assert out.count() > 0
 
 
+def test_stages_do_not_copy_stored_input(spark, tmp_path):
+    from pathlib import Path
+
+    from scriptorium.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    copied = table(spark, documents())
+    copied.repartition(5).write.parquet(f"{tmp_path}/docs.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        before = {p.name for p in folder.iterdir()}
+        out = stage(spark, stored, "")
+        left = {p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before}
+        assert left == {"gone", "filter"}
+        ids = lambda rows: sorted(str(r["doc_id"]) for r in rows.collect())
+        assert out.columns == COLUMNS and ids(out) == ids(stage(spark, copied, ""))
+
+
+def test_numbers_of_stored_rows_do_not_depend_on_the_splits(spark, tmp_path):
+    path = f"{tmp_path}/n.parquet"
+    spark.range(20_000).selectExpr("id", "'x' as _metadata", "sha2(string(id), 256) as path").repartition(6).write.parquet(path)
+    numbers = lambda df: {r["id"]: r["row"] for r in common.numbered(df, "row").collect()}
+    want = numbers(spark.read.parquet(path))
+    assert len(set(want.values())) == 20_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        assert numbers(spark.read.parquet(path)) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    twice = common.numbered(spark.read.parquet(path, path), "row")
+    assert twice.count() == twice.select("row").distinct().count()
+    part = common.numbered(spark.read.parquet(path).where("id < 50"), "row")
+    assert part.count() == part.select("row").distinct().count() == 50
+
+
 def test_secrets_are_masked_and_clean_documents_unchanged(spark):
     rows = documents()
     out = corpus_pipeline.mask_secrets(spark, table(spark, rows), "").collect()
