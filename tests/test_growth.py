@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
+import statistics
+import time
+from collections import Counter, defaultdict
+from math import log
 
-from scriptorium.sources import html
+from scriptorium.operators import keywords
+from scriptorium.sources import html, pdf, pdf_writer
 
 FILLER = "<p>" + "Plain words of a paragraph, with commas, stand here for the reader. " * 12 + "</p>"
 
@@ -21,3 +27,73 @@ def test_the_heading_goes_if_it_repeats_the_whole_title():
     found = html.article(page)
     assert found["title"] == "Onespot | twelvesome | threesquares" or found["title"] == head
     assert "Onespot" not in found["text"]
+
+
+def test_keywords_of_long_texts_are_those_of_plain_counting():
+    """Against a count word by word."""
+    rng = random.Random(7)
+    words = [*"the of and is a to harbour Pilot steam FERRY ferry o'clock well-known x 7 42 Çelik ıssız Ferries pilots pilotage pilotages".split()]
+    for size in (9, 60, 700):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "\n", "!? "]) for _ in range(size)) + "." * 50
+        for longest, window, alike in ((3, 1, 0.9), (1, 1, 0.8), (4, 2, 0.5)):
+            got = keywords.extract(text, 12, longest, window, alike)
+            want = counted(text, 12, longest, window, alike)
+            assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == [w[1] for w in want]
+
+
+def counted(text, count, longest, window, alike):
+    sentences = [w for w in (re.findall(r"[^\W_]+(?:['-][^\W_]+)*", s) for s in re.split(r"[.!?\n]+", text)) if w]
+    seen, capital, acronym, places = Counter(), Counter(), Counter(), defaultdict(list)
+    left, right, found = defaultdict(Counter), defaultdict(Counter), Counter()
+    usable = lambda w: len(w) > 1 and w not in keywords.STOP_WORDS and not w.isdigit()
+    for n, own in enumerate(sentences):
+        low = [w.lower() for w in own]
+        for i, (word, w) in enumerate(zip(own, low, strict=True)):
+            seen[w] += 1
+            places[w].append(n)
+            capital[w] += i > 0 and word[:1].isupper()
+            acronym[w] += len(word) > 1 and word.isupper()
+            for j in range(max(0, i - window), i):
+                left[w][low[j]] += 1
+                right[low[j]][w] += 1
+            for size in range(1, longest + 1):
+                gram = tuple(low[i : i + size])
+                found[gram] += len(gram) == size and usable(gram[0]) and usable(gram[-1])
+    counts, weight = [c for w, c in seen.items() if usable(w)], {}
+    for w, tf in seen.items():
+        related = 1 + sum(len(s[w]) / max(1, sum(s[w].values())) for s in (left, right)) * tf / max(seen.values())
+        place = max(log(log(3 + statistics.median(places[w])) + 1e-12), 0.05)
+        spread = statistics.fmean(counts) + statistics.pstdev(counts)
+        weight[w] = max(related * place / (max(capital[w], acronym[w]) / (1 + log(tf)) + tf / spread / related + len(set(places[w])) / len(sentences) / related), 1e-9)
+    scored = []
+    for gram, tf in ((g, n) for g, n in found.items() if n):
+        product, total = 1.0, 0.0
+        for k, w in enumerate(gram):
+            if w in keywords.STOP_WORDS:
+                share = left[gram[k + 1]][w] / seen[w] * right[gram[k - 1]][w] / seen[gram[k - 1]]
+                product, total = product * (1 + 1 - share), total - (1 - share)
+            else:
+                product, total = product * weight[w], total + weight[w]
+        scored.append((product / (tf * (1 + total)) if total > -1 else product, " ".join(gram)))
+    out = []
+    for score, word in sorted(scored):
+        if all(keywords._similar(word, other) <= alike for other, _ in out) and len(out) < count:
+            out.append((word, score))
+    return out
+
+
+def test_a_long_text_takes_few_milliseconds():
+    rng = random.Random(3)
+    text = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}word" + "." * (i % 9 == 0) for i in range(20_000))
+    lines = [[text[i : i + 80].replace("\n", " ") for i in range(k, k + 4000, 80)] for k in range(0, 40_000, 4000)]
+    began = time.process_time()
+    sum(range(2_000_000))
+    unit = time.process_time() - began
+    began = time.process_time()
+    keywords.extract(text)
+    assert time.process_time() - began < 2.5 * unit
+    made = [pdf_writer.document(lines, style) for style in pdf_writer.STYLES]
+    began = time.process_time()
+    for data in made:
+        assert len(pdf.extract_pages(data)) == 10
+    assert time.process_time() - began < 5 * unit
