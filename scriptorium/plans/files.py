@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import listing as L
 from ..operators import saving as S
+from ..session import spread
 from ..sources import archive as A
 from ..sources import pdf
 from ..sources import pdf_writer as W
@@ -58,7 +59,8 @@ def pdf_titles(spark, sf):
     def made(keys):
         return keys.map(lambda n: _titled(int(n)))
 
-    files = A.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), made(F.col("c_custkey")).alias("content"))
+    keys = spread(A.read(spark, sf, "customer").select("c_custkey"))  # few bytes a row, so few partitions, but a file each
+    files = keys.select(F.col("c_custkey").cast("string").alias("path"), made(F.col("c_custkey")).alias("content"))
     return pdf.titles(files).select(F.col("path").cast("long").alias("c_custkey"), "title")
 
 
@@ -86,7 +88,8 @@ FROM documents LEFT JOIN t USING (doc_id) WHERE doc_id % 5 = 0 AND doc_id % 3 <>
 def pdf_reprocess(spark, sf):
     """Files whose text was made by an older version are read anew; those of the present one, and articles, are not."""
     d = A.read(spark, sf, "documents")
-    files = W.files(d).select(F.regexp_extract("path", r"(\d+)\.pdf", 1).cast("long").alias("id"), F.col("content").alias("pdf_data"))
+    own = W.files(d.where("doc_id % 5 = 0")).select(F.regexp_extract("path", r"(\d+)\.pdf", 1).cast("long").alias("id"), F.col("content").alias("pdf_data"))
+    files = own.unionByName(d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.lit(None).cast("binary").alias("pdf_data")))  # articles have no file
     version = F.when(F.col("id") % 3 == 0, 2).otherwise(1)
     kind = F.when(F.col("id") % 5 == 0, "pdf").otherwise("article")
     rows = files.select("id", kind.alias("content_type"), "pdf_data", F.lit("old").alias("extracted_text"), F.lit("ok").alias("index_status"), version.alias("index_version"))
