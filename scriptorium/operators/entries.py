@@ -70,13 +70,13 @@ def title_prompt(text: Column, template: str = "chatml") -> Column:
 
 def model_title(raw: Column) -> Column:
     """A model's answer as a title: its first line without quotes and bold signs, cleaned; null if too short or too long."""
-    first = F.substring_index(X.trim(raw), "\n", 1)
     inner = lambda t, n: F.substring(t, n + 1, F.char_length(t) - 2 * n)
-    quoted = (F.char_length(first) >= 2) & ((first.startswith('"') & first.endswith('"')) | (first.startswith("'") & first.endswith("'")))
-    plain = F.when(quoted, inner(first, 1)).otherwise(first)
-    plain = F.when((F.char_length(plain) >= 4) & plain.startswith("**") & plain.endswith("**"), inner(plain, 2)).otherwise(plain)
-    title = X.clean_title(plain)
-    return F.when(F.octet_length(title).between(TITLE_LEAST, TITLE_MOST), title)
+    quoted = lambda t: (F.char_length(t) >= 2) & ((t.startswith('"') & t.endswith('"')) | (t.startswith("'") & t.endswith("'")))
+    bold = lambda t: (F.char_length(t) >= 4) & t.startswith("**") & t.endswith("**")
+    # Every step has the last one's result as a variable: the answer is made once.
+    plain = X.let(F.substring_index(X.trim(raw), "\n", 1), lambda t: F.when(quoted(t), inner(t, 1)).otherwise(t))
+    plain = X.let(plain, lambda t: F.when(bold(t), inner(t, 2)).otherwise(t))
+    return X.let(X.clean_title(plain), lambda t: F.when(F.octet_length(t).between(TITLE_LEAST, TITLE_MOST), t))
 
 
 def to_retitle(entries: DataFrame, prefixes: list[str] = (), only_generic: bool = False, created: str = "created_s") -> DataFrame:

@@ -55,9 +55,11 @@ SELECT doc_id, CASE WHEN strlen(title) BETWEEN 5 AND 200 THEN title END AS title
 def model_titles(spark, sf):
     """Answers in quotes, in bold, with a second line: the title is the plain first line."""
     d = A.read(spark, sf, "documents").where(~F.coalesce("text", F.lit("")).contains('"'))
-    w = F.array_join(F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""), 1, (F.col("doc_id") % 12).cast("int")), " ")
+    beginning = F.regexp_extract(F.coalesce("text", F.lit("")), r"^(?:\s*+\S++){0,11}", 0)  # eleven words at most are taken
+    words = F.array_join(F.slice(F.filter(F.split(beginning, r"\s+"), lambda x: x != ""), 1, (F.col("doc_id") % 12).cast("int")), " ")
     n = F.col("doc_id") % 4
-    raw = F.when(n == 0, F.concat(F.lit('"'), w, F.lit('"'))).when(n == 1, F.concat(F.lit("  **"), w, F.lit("**\nbecause"))).when(n == 2, F.concat(F.lit("'"), w, F.lit("'"))).otherwise(w)
+    quoted = lambda w: F.when(n == 0, F.concat(F.lit('"'), w, F.lit('"'))).when(n == 1, F.concat(F.lit("  **"), w, F.lit("**\nbecause"))).when(n == 2, F.concat(F.lit("'"), w, F.lit("'"))).otherwise(w)
+    raw = X.let(words, quoted)
     return d.select("doc_id", E.model_title(raw).alias("title"))
 
 
