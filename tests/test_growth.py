@@ -9,7 +9,12 @@ import time
 from collections import Counter, defaultdict
 from math import log
 
-from scriptorium.operators import keywords
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.operators import keywords, vectors
+from scriptorium.plans import catalogue
 from scriptorium.sources import html, pdf, pdf_writer
 
 FILLER = "<p>" + "Plain words of a paragraph, with commas, stand here for the reader. " * 12 + "</p>"
@@ -97,3 +102,54 @@ def test_a_long_text_takes_few_milliseconds():
     for data in made:
         assert len(pdf.extract_pages(data)) == 10
     assert time.process_time() - began < 5 * unit
+
+
+def _brute(vectors):
+    """Cosines of all pairs of (id, vector) rows; those of equal vectors are equal."""
+    v = np.array([x for _, x in vectors], float)
+    norms = np.linalg.norm(v, axis=1)
+    return np.stack([(v * v[i]).sum(1) / np.maximum(norms * norms[i], 1e-300) for i in range(len(v))])
+
+
+def _rows(n=900, copies=150):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(n, 8)).round(2)
+    points[:copies] = points[0]  # one large group of copies
+    points[-1] = 0
+    return [(i * 3 + 1, [float(x) for x in p]) for i, p in enumerate(points)]
+
+
+@pytest.mark.parametrize("dealt", [70, 16_384])
+def test_blocks_of_vectors_lose_nothing(spark, monkeypatch, dealt):
+    monkeypatch.setattr(vectors.packed, "__defaults__", (None, dealt))
+    rows = _rows()
+    df, s, ids = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), _brute(rows), np.array([i for i, _ in rows])
+    want = {}
+    for i, key in enumerate(ids):
+        order = [j for j in np.lexsort((ids, -s[i])) if j != i][:5]
+        want[int(key)] = [int(ids[j]) for j in order]
+    got = {}
+    for r in sorted(vectors.all_neighbours(df, 5).collect(), key=lambda r: (-r["similarity"], r["neighbour"])):
+        got.setdefault(r["vec_id"], []).append(r["neighbour"])
+    assert {k: v for k, v in got.items() if k != int(ids[-1])} == {k: v for k, v in want.items() if k != int(ids[-1])}
+    pairs = {(r[0], r[1]) for r in vectors.similar_pairs(df, 0.9, block=7).select("vec_id", "neighbour").collect()}
+    assert pairs == {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(np.triu(s, 1) > 0.9), strict=True)}
+    chunks = vectors.best_in_groups(df.where("vec_id % 50 = 1"), df, F.floor(F.col("vec_id") / 9), lambda i: i % 9).collect()
+    best = {}
+    for i, key in enumerate(ids):
+        for q in (j for j, x in enumerate(ids) if x % 50 == 1):
+            k = (int(ids[q]), int(key) // 9)
+            best[k] = max(best.get(k, (-9, 0)), (round(float(s[q, i]), 6) + 0.0, -(int(key) % 9)))
+    assert {(r["query_id"], r["entry_id"]): (r["score"], -r["chunk_index"]) for r in chunks} == best
+
+
+def test_vectors_are_not_sent_once_for_every_small_block(spark):
+    df = spark.createDataFrame(_rows(600), "vec_id long, embedding array<double>")
+    plan = lambda x: x._jdf.queryExecution().toString()
+    dealt = [int(n) for n in re.findall(r"sequence\(0, (\d+)", plan(vectors.similar_pairs(df, 0.9, block=3)))]
+    assert dealt and max(dealt) < 20
+
+
+def test_best_chunks_are_found_where_the_vectors_lie(spark, sf):
+    plan = catalogue.QUERIES["best_chunk_per_entry"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "query_id" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", plan))
