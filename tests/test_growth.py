@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import keywords, vectors
+from scriptorium.functions import stemming
+from scriptorium.operators import fulltext, keywords, vectors
 from scriptorium.plans import catalogue
 from scriptorium.sources import html, pdf, pdf_writer
 
@@ -153,3 +154,24 @@ def test_vectors_are_not_sent_once_for_every_small_block(spark):
 def test_best_chunks_are_found_where_the_vectors_lie(spark, sf):
     plan = catalogue.QUERIES["best_chunk_per_entry"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "query_id" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", plan))
+
+
+def test_an_index_is_built_without_a_shuffle(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 97} Wörter{k % 5}" for k in range(1 + i % 40)) if i % 9 else None) for i in range(2100)]
+    docs = fulltext.documents(spark.createDataFrame(rows, "doc_id long, text string"), title=F.lit("one two one"))
+    found = fulltext.postings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, text in rows:
+        words = re.sub("ö", "o", (text or "").lower()).split()
+        for column, terms in (("title", ["one", "two", "one"]), ("body", words)):
+            for at, w in enumerate(terms):
+                want.setdefault((w, i, column, 3 + len(words)), []).append(at)
+    assert {(r["term"], r["doc_id"], r["column"], r["length"]): r["positions"] for r in found.collect()} == want
+
+
+def test_words_of_a_batch_are_stemmed_in_place(spark):
+    rows = [(1, ["running", "ponies"]), (2, []), (3, None), (4, ["ponies", "Über"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    got = {r["id"]: r["s"] for r in df.coalesce(1).select("id", stemming.stem_column(F.col("w")).alias("s")).collect()}
+    assert got == {1: ["run", "poni"], 2: [], 3: None, 4: ["poni", "Über"]}
