@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 SIZE, OVERLAP, LEAST = 2000, 400, 100
+#: Text that leaves in one batch, whatever the texts' number and length.
+BATCH_CHARS = 1 << 20
 
 
 def sentence_end(text: str, low: int, high: int) -> int:
@@ -41,16 +43,23 @@ def split(text: str) -> list[str]:
     return out
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of (id, text) rows, in batches of a bounded size."""
+    for batch in batches:
+        out, size = [], 0
+        for row, key in enumerate(batch.column(0).to_pylist(), 1):
+            pieces = split(batch.column(1)[row - 1].as_py() or "")
+            out += [(key, n, piece) for n, piece in enumerate(pieces)]
+            size += sum(map(len, pieces))
+            if size >= BATCH_CHARS or row == batch.num_rows:
+                ids, places, texts = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, batch.schema.field(0).type), pa.array(places, pa.int32()), pa.array(texts, pa.string())], ["entry_id", "chunk_index", "chunk_text"]
+                )
+                out, size = [], 0
+
+
 def chunked(rows: DataFrame, id_col: str = "entry_id", text_col: str = "extracted_text") -> DataFrame:
     """``entry_id, chunk_index, chunk_text``, numbered from 0 in each entry."""
     kind = dict(rows.dtypes)[id_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(i, n, piece) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for n, piece in enumerate(split(t.as_py() or ""))]
-            ids, places, texts = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(places, pa.int32()), pa.array(texts, pa.string())], ["entry_id", "chunk_index", "chunk_text"]
-            )
-
-    return spread(rows.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"entry_id {kind}, chunk_index int, chunk_text string")
+    return spread(rows.select(F.col(id_col), F.col(text_col))).mapInArrow(cut, f"entry_id {kind}, chunk_index int, chunk_text string")

@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import stemming
-from scriptorium.operators import fulltext, keywords, vectors
+from scriptorium.operators import chunks, fulltext, keywords, vectors
 from scriptorium.plans import catalogue
 from scriptorium.sources import html, pdf, pdf_writer
 
@@ -175,3 +176,11 @@ def test_words_of_a_batch_are_stemmed_in_place(spark):
     df = spark.createDataFrame(rows, "id int, w array<string>")
     got = {r["id"]: r["s"] for r in df.coalesce(1).select("id", stemming.stem_column(F.col("w")).alias("s")).collect()}
     assert got == {1: ["run", "poni"], 2: [], 3: None, 4: ["poni", "Über"]}
+
+
+def test_chunks_leave_in_bounded_batches():
+    text = "Some words of a long text. " * 8_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([text] * 39 + [None])], ["id", "text"])
+    found = list(chunks.cut(iter([batch])))
+    assert len(found) > 5 and max(b.column(2).nbytes for b in found) < chunks.BATCH_CHARS + 2 * len(text)
+    assert [x for b in found for x in b.column(2).to_pylist()] == chunks.split(text) * 39
