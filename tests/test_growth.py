@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import stemming
-from scriptorium.operators import chunks, fulltext, keywords, vectors
+from scriptorium.operators import chunks, fulltext, keywords, topics, vectors
 from scriptorium.plans import catalogue
 from scriptorium.sources import html, pdf, pdf_writer
 
@@ -184,3 +184,18 @@ def test_chunks_leave_in_bounded_batches():
     found = list(chunks.cut(iter([batch])))
     assert len(found) > 5 and max(b.column(2).nbytes for b in found) < chunks.BATCH_CHARS + 2 * len(text)
     assert [x for b in found for x in b.column(2).to_pylist()] == chunks.split(text) * 39
+
+
+@pytest.mark.parametrize("dealt", [60, 16_384])
+def test_a_tree_of_many_tasks_is_as_light_as_that_of_one(spark, monkeypatch, dealt):
+    monkeypatch.setattr(vectors.packed, "__defaults__", (None, dealt))
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(500, 5)) + rng.integers(0, 4, 500)[:, None] * 30
+    points[40:60] = points[40]  # copies: their distance is none
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, embedding array<double>")
+    ids, tree = topics.distributed_tree(df, 4)
+    assert sorted(ids) == list(range(500))
+    assert np.allclose(np.sort(tree[:, 2]), np.sort(topics.spanning_tree(points, 4)[:, 2]), atol=1e-6)
+    found = {r["id"]: r["topic"] for r in topics.clusters(df, most=100).collect()}
+    centre = {i: round(float(points[i].mean()) / 30) for i in range(500)}
+    assert found and all(centre[i] == centre[t] for i, t in found.items())
