@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import stemming
-from scriptorium.operators import chunks, fulltext, keywords, topics, vectors
+from scriptorium.operators import chunks, entries, fulltext, keywords, topics, vectors
 from scriptorium.plans import catalogue
 from scriptorium.sources import html, pdf, pdf_writer
 
@@ -199,3 +199,8 @@ def test_a_tree_of_many_tasks_is_as_light_as_that_of_one(spark, monkeypatch, dea
     found = {r["id"]: r["topic"] for r in topics.clusters(df, most=100).collect()}
     centre = {i: round(float(points[i].mean()) / 30) for i in range(500)}
     assert found and all(centre[i] == centre[t] for i, t in found.items())
+
+
+def test_a_models_answer_is_made_once(spark):
+    df = spark.createDataFrame([('"A quoted title"\nbecause',), ("  **Bold title**\nx",), ("'''",)], "a string").select(entries.model_title(F.concat("a", F.lit(" MARK"))).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(" MARK") == 1
